@@ -4,14 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldloom.llm import htmltext, licences, packing, secrets
+from fieldloom.llm import htmltext, licences, packing, secrets, sentences, toxicity
 from fieldloom.llm._store import table
 
 
+def op1_sentencepiece(spark, sf_dir):
+    return sentences.encode(table(spark, sf_dir, "documents"))
+
+
 def op2_html_extraction(spark, sf_dir):
     return htmltext.scan(table(spark, sf_dir, "pages"))
 
 
+def op4_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scan(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_secret_scan(spark, sf_dir):
     return secrets.scan(table(spark, sf_dir, "documents")).withColumn("entropy", F.round("entropy", 4))
 
@@ -24,5 +33,5 @@ def op9_licence_scan(spark, sf_dir):
     return licences.scan(table(spark, sf_dir, "documents")).withColumn("dice", F.round("dice", 6))
 
 
-QUERIES = {f.__name__: f for f in (op2_html_extraction, op5_secret_scan, op8_packing, op9_licence_scan)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_html_extraction, op4_toxicity, op5_secret_scan, op8_packing, op9_licence_scan)}
 ORACLES = {"op5_secret_scan": secrets.ORACLE, "op9_licence_scan": licences.ORACLE}

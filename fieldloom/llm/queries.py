@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldloom.llm import htmltext, licences, packing, secrets, sentences, toxicity
+from fieldloom.llm import htmltext, licences, nearcopies, packing, secrets, sentences, suffixes, toxicity
 from fieldloom.llm._store import table
 
 
@@ -16,6 +16,10 @@ def op2_html_extraction(spark, sf_dir):
     return htmltext.scan(table(spark, sf_dir, "pages"))
 
 
+def op3_suffix_dedup(spark, sf_dir):
+    return suffixes.repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return toxicity.scan(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -33,5 +37,9 @@ def op9_licence_scan(spark, sf_dir):
     return licences.scan(table(spark, sf_dir, "documents")).withColumn("dice", F.round("dice", 6))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_html_extraction, op4_toxicity, op5_secret_scan, op8_packing, op9_licence_scan)}
-ORACLES = {"op5_secret_scan": secrets.ORACLE, "op9_licence_scan": licences.ORACLE}
+def op10_near_dedup(spark, sf_dir):
+    return nearcopies.groups(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_html_extraction, op3_suffix_dedup, op4_toxicity, op5_secret_scan, op8_packing, op9_licence_scan, op10_near_dedup)}
+ORACLES = {"op3_suffix_dedup": suffixes.ORACLE, "op5_secret_scan": secrets.ORACLE, "op9_licence_scan": licences.ORACLE}

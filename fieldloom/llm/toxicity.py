@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from fieldloom.llm import _text
 from fieldloom.llm._store import column
 
-TRAIN_ROWS = 1500
+TRAIN_ROWS = 1000
 WINDOW, STRIDE = 64, 32
 HIDDEN, LEARNED = 8, 3
 INPUTS = 3 + 2 * LEARNED
@@ -68,14 +68,21 @@ class Types(NamedTuple):
     count: np.ndarray
 
 
-def types_of(w: _text.Words, codes: np.ndarray, first: np.ndarray) -> Types:
-    """``first``: one occurrence of each distinct word."""
+def types_of(w: _text.Words, codes: np.ndarray, first: np.ndarray, step: int = 1 << 15) -> Types:
+    """``first``: one occurrence of each distinct word. ``step`` words at a time, to bound memory."""
+    parts = [_grams(w, first[k : k + step]) for k in range(0, len(first), step)] or [(np.zeros(0, np.int32), np.zeros(0, np.int64))]
+    count = np.concatenate([p[1] for p in parts])
+    return Types((codes[first] & np.uint64(WORD_BUCKETS - 1)).astype(np.int32), np.concatenate([p[0] for p in parts]), np.cumsum(count) - count, count)
+
+
+def _grams(w: _text.Words, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the n-grams of words, one word after the other, and how many each has."""
     starts, size = w.starts[first], (w.ends - w.starts)[first]
     n = len(first)
     begin = np.cumsum(size + 2) - (size + 2)
     owner = np.repeat(np.arange(n), size + 2)
     inner = np.arange(len(owner)) - begin[owner]
-    text = w.data[np.clip(starts[owner] + inner - 1, 0, max(len(w.data) - 1, 0))].astype(np.uint64) if n else np.zeros(0, np.uint64)
+    text = w.data[np.clip(starts[owner] + inner - 1, 0, len(w.data) - 1)].astype(np.uint64)
     text[inner == 0] = 2
     text[inner == size[owner] + 1] = 3
     left = size[owner] + 2 - inner
@@ -88,20 +95,21 @@ def types_of(w: _text.Words, codes: np.ndarray, first: np.ndarray) -> Types:
             buckets.append((_text.mix(key[fits] + np.uint64((k + 1) << 56)) & np.uint64(GRAM_BUCKETS - 1)).astype(np.int32))
             owners.append(owner[fits])
     flat, own = np.concatenate(buckets), np.concatenate(owners)
-    order = np.argsort(own, kind="stable")
-    count = np.bincount(own, minlength=n)
-    return Types((codes[first] & np.uint64(WORD_BUCKETS - 1)).astype(np.int32), flat[order], np.cumsum(count) - count, count)
+    return flat[np.argsort(own, kind="stable")], np.bincount(own, minlength=n)
 
 
 def inputs(t: Types, words: np.ndarray, grams: np.ndarray, word_table: np.ndarray, gram_table: np.ndarray) -> np.ndarray:
     """The network's input for each distinct word; every word has an n-gram, as its ends are marked."""
     out = np.empty((len(t.words), INPUTS), np.float32)
-    odds, n = grams[t.grams], t.count.astype(np.float32)
+    for k in range(0, len(t.words), 1 << 15):
+        some = slice(k, min(k + (1 << 15), len(t.words)))
+        first, n = t.first[some] - t.first[k], t.count[some].astype(np.float32)
+        own = t.grams[t.first[k] : t.first[k] + int(t.count[some].sum())]
+        out[some, 1] = np.maximum.reduceat(grams[own], first)
+        out[some, 2] = np.add.reduceat(grams[own], first) / n
+        out[some, 3 + LEARNED :] = np.add.reduceat(gram_table[own], first) / n[:, None]
     out[:, 0] = words[t.words]
-    out[:, 1] = np.maximum.reduceat(odds, t.first)
-    out[:, 2] = np.add.reduceat(odds, t.first) / n
     out[:, 3 : 3 + LEARNED] = word_table[t.words]
-    out[:, 3 + LEARNED :] = np.add.reduceat(gram_table[t.grams], t.first) / n[:, None]
     return out
 
 
@@ -192,11 +200,17 @@ def judge(m: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return count, worst, best
 
 
-def _odds(buckets: np.ndarray, doc: np.ndarray, label: np.ndarray, fold: np.ndarray, size: int) -> list[np.ndarray]:
-    """Shrunk log-odds of toxicity by bucket, without the documents of each fold and, last, of all. fold: of each document."""
-    seen = np.unique(doc.astype(np.int64) * size + buckets)
-    bucket, doc = seen % size, seen // size
-    p, q = (np.stack([np.bincount(bucket[(label[doc] == kind) & (fold[doc] == f)], minlength=size) for f in range(FOLDS)]).astype(np.float32) for kind in (True, False))
+def _odds(parts: Iterator[tuple[np.ndarray, np.ndarray]], label: np.ndarray, fold: np.ndarray, size: int) -> list[np.ndarray]:
+    """Shrunk log-odds of toxicity by bucket, without the documents of each fold and, last, of all.
+
+    parts: (document, bucket) with all that a document has in one part. fold: of each document.
+    """
+    counts = np.zeros((2 * FOLDS, size), np.float32)
+    for doc, bucket in parts:
+        seen = np.unique(doc.astype(np.int64) * size + bucket)
+        kind = label[seen // size] * FOLDS + fold[seen // size]
+        counts += np.bincount(kind * size + seen % size, minlength=counts.size).reshape(counts.shape)
+    q, p = counts[:FOLDS], counts[FOLDS:]
     rate = label.sum() / max(1, (~label).sum())
     up, down = max(1.0, rate), max(1.0, 1 / rate)  # counts as if of equal classes, at the smaller one's size
     rest = [(p.sum(0) - p[f], q.sum(0) - q[f]) for f in range(FOLDS)] + [(p.sum(0), q.sum(0))]
@@ -271,12 +285,23 @@ def train(texts: list[str], toxic: list[int], seed: int = 7) -> Model | None:
     for kind in (True, False):
         own = rng.permutation(np.flatnonzero(label == kind))
         fold[own] = np.arange(len(own)) % FOLDS
-    odds = _odds(types.words[word_type], word_doc, label, fold, WORD_BUCKETS)
     pair = np.unique(word_doc * np.int64(len(first)) + word_type)
-    pair_doc, pair_type = pair // len(first), pair % len(first)
-    reps = types.count[pair_type]
-    flat = types.grams[np.repeat(types.first[pair_type] - (np.cumsum(reps) - reps), reps) + np.arange(reps.sum())]
-    gram_odds = _odds(flat, np.repeat(pair_doc, reps), label, fold, GRAM_BUCKETS)
+
+    def words_seen(step: int = 50_000):
+        """Distinct words by document, some whole documents at a time."""
+        at = 0
+        while at < len(pair):
+            to = int(np.searchsorted(pair, (pair[min(at + step, len(pair)) - 1] // len(first) + 1) * len(first)))
+            yield pair[at:to] // len(first), pair[at:to] % len(first)
+            at = to
+
+    def grams_seen():
+        for doc, kind in words_seen():
+            reps = types.count[kind]
+            yield np.repeat(doc, reps), types.grams[np.repeat(types.first[kind] - (np.cumsum(reps) - reps), reps) + np.arange(reps.sum())]
+
+    odds = _odds(((doc, types.words[kind]) for doc, kind in words_seen()), label, fold, WORD_BUCKETS)
+    gram_odds = _odds(grams_seen(), label, fold, GRAM_BUCKETS)
     scale = lambda *shape: (rng.standard_normal(shape) * 0.3).astype(np.float32)
     params = {"Wf": scale(INPUTS, 3 * HIDDEN), "Uf": scale(HIDDEN, 3 * HIDDEN), "bf": np.zeros(3 * HIDDEN, np.float32), "Wb": scale(INPUTS, 3 * HIDDEN), "Ub": scale(HIDDEN, 3 * HIDDEN), "bb": np.zeros(3 * HIDDEN, np.float32)}
     params |= {"v": scale(2 * HIDDEN), "o": scale(2 * HIDDEN), "b0": np.zeros(1, np.float32), "ew": scale(WORD_BUCKETS, LEARNED) * 0.1, "eg": scale(GRAM_BUCKETS, LEARNED) * 0.1}

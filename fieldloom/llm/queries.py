@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldloom.llm import htmltext, licences, nearcopies, packing, secrets, sentences, suffixes, topk, toxicity
+from fieldloom.llm import htmltext, licences, nearcopies, neighbours, packing, secrets, sentences, suffixes, topk, toxicity
 from fieldloom.llm._store import table
 
 
@@ -29,6 +29,10 @@ def op5_secret_scan(spark, sf_dir):
     return secrets.scan(table(spark, sf_dir, "documents")).withColumn("entropy", F.round("entropy", 4))
 
 
+def op6_nearest_neighbours(spark, sf_dir):
+    return neighbours.search(table(spark, sf_dir, "embeddings"))
+
+
 def op7_topk_search(spark, sf_dir):
     return topk.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -45,5 +49,5 @@ def op10_near_dedup(spark, sf_dir):
     return nearcopies.groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_html_extraction, op3_suffix_dedup, op4_toxicity, op5_secret_scan, op7_topk_search, op8_packing, op9_licence_scan, op10_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_html_extraction, op3_suffix_dedup, op4_toxicity, op5_secret_scan, op6_nearest_neighbours, op7_topk_search, op8_packing, op9_licence_scan, op10_near_dedup)}
 ORACLES = {"op3_suffix_dedup": suffixes.ORACLE, "op5_secret_scan": secrets.ORACLE, "op7_topk_search": topk.ORACLE, "op9_licence_scan": licences.ORACLE}

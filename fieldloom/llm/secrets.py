@@ -39,7 +39,7 @@ MARK = "[SECRET]"
 _ALPHABET = np.array([b < 128 and (chr(b).isalnum() or chr(b) in "+/=_-") for b in range(256)])
 _HEX = re.compile(r"[0-9a-fA-F]+\Z")
 _ALNUM = re.compile(r"[0-9A-Za-z]+\Z")
-_NLOGN = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
+_NLOGN = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 2)]  # a character enters before another leaves
 
 
 def kind_of(candidate: str) -> str:

@@ -254,14 +254,12 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     mark = pairs.join(keeper, "group").withColumn("state", F.when(~kept, 2).when(F.col("n") > 1, 1).otherwise(0)).filter("state > 0")
     mark = mark.select(F.col("doc_id").alias("__mark_id"), F.col("class").alias("__mark_class"), F.col("state").alias("__mark_state"))
 
-    @F.pandas_udf("bigint")
-    def class_of(texts):
-        import pandas as pd
-
+    @F.arrow_udf("bigint")
+    def class_of(texts: pa.Array) -> pa.Array:
         out = np.zeros(len(texts), np.uint64)
-        for a, b, part in _text.string_chunks(pa.Array.from_pandas(texts, type=pa.large_string())):
+        for a, b, part in _text.string_chunks(texts):
             out[a:b] = classes(*shingles(_text.words(part, _SEPARATORS, fold=True), b - a), b - a)
-        return pd.Series(out.view(np.int64))
+        return pa.array(out.view(np.int64))
 
     def keyed(df, id_, class_):
         return df.withColumns({"__k1": class_, "__k2": F.coalesce(id_, F.lit(0)), "__k3": id_.isNull()})

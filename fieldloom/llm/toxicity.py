@@ -433,13 +433,9 @@ def clean(docs: DataFrame, model: Model | None) -> DataFrame:
     """``docs`` without the toxic documents; all columns stay."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("boolean")
-    def toxic(texts):
-        import pandas as pd
-
+    @F.arrow_udf("boolean")
+    def toxic(texts: pa.Array) -> pa.Array:
         m = shared.value
-        if m is None:
-            return pd.Series(np.zeros(len(texts), bool))
-        return pd.Series(judge(m, pa.Array.from_pandas(texts, type=pa.large_string()))[2] >= m.threshold)
+        return pa.array(np.zeros(len(texts), bool) if m is None else judge(m, texts)[2] >= m.threshold)
 
     return docs.filter(~toxic(F.col("text").cast("string")))

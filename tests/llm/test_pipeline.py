@@ -1,0 +1,39 @@
+import corpus_pipeline
+import pytest
+
+import __spark_entry__ as entry
+from fieldloom.llm import queries
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_every_operator_has_its_query():
+    numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
+    assert numbers == list(range(1, 11)) and set(queries.ORACLES) <= set(queries.QUERIES)
+    assert "pipeline" in entry.queries() and [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_copies", "passages", "secrets", "packing"]
+
+
+def test_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns, before = docs.columns, docs.count()
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = stage(spark, docs, SF)
+        if k + 1 < len(corpus_pipeline.STAGES):
+            assert docs.columns == columns
+            assert docs.count() <= before
+            before = docs.count()
+    rows = docs.toPandas()
+    assert rows.groupby("sequence_id").n_tokens.sum().max() <= 8192
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_queries_against_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "pages", "labels"):
+        con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    got = queries.QUERIES[name](spark, SF)
+    columns = sorted(got.columns)
+    want = sorted(map(str, con.sql(f"select {', '.join(columns)} from ({queries.ORACLES[name]})").fetchall()))
+    assert sorted(str(tuple(r)) for r in got.select(*columns).collect()) == want

@@ -155,7 +155,7 @@ class Compiler:
         self.config, self.source, self.null_is_absent = config, source, null_is_absent
         self.rules = Builder(config)
         self.inside = 0
-        self.stages: list[tuple[str, Column]] = []
+        self.stages: list[dict[str, Column]] = []
 
     def any_value(self, m: M.Metric, values: dict[str, Column]) -> Column:
         if type(m) is M.CompositeScore:
@@ -238,9 +238,17 @@ class Compiler:
         if self.inside:
             return F.get(F.transform(F.array(x), then), F.lit(0))
         name = f"__{len(self.stages)}"
-        self.stages.append((name, x))
+        self.stages.append({name: x})
         return then(F.col(name))
 
+    def bind_all(self, values: dict[str, Column], then: Callable[[dict[str, Column]], Any]) -> Any:
+        """The same of several doubles. Outside arrays they are columns of their own: a struct's would be inlined at every use."""
+        if self.inside:
+            return self.bind(F.struct(*(v.cast("double").alias(k) for k, v in values.items())), lambda s: then({k: s[k] for k in values}))
+        names = {k: f"__{len(self.stages)}_{i}" for i, k in enumerate(values)}
+        self.stages.append({names[k]: v.cast("double") for k, v in values.items()})
+        return then({k: F.col(f"`{n}`") for k, n in names.items()})
+
     def part(self, a: Column, e: Column, at, et, cfg: Any, path: Column, over: Column, key: str, depth: int, then: Callable[[Part], Any], in_a: Column | bool = True, in_e: Column | bool = True, root: bool = False) -> Any:
         """What ``then`` makes of the compiled node."""
         kind = _kind(et) or _kind(at) or M.SCALAR
@@ -261,7 +269,7 @@ class Compiler:
                 if first < len(order):
                     m = order[first]
                     more = {m.name: self.any_value(m, values)} if m.level == "any" else make(m, values)
-                    return self.bind(F.struct(*(v.cast("double").alias(k) for k, v in more.items())), lambda s: with_values(values | {k: s[k] for k in more}, first + 1))
+                    return self.bind_all(more, lambda got: with_values(values | got, first + 1))
                 if key_metric.name not in values:
                     raise ValueError(f"{key_metric.name} gives no value of its own and can't be a key metric")
                 return complete(values)
@@ -280,7 +288,7 @@ class Compiler:
 
             if not values:
                 return with_values({}, first)
-            return self.bind(F.struct(*(v.cast("double").alias(k) for k, v in values.items())), lambda s: with_values({k: s[k] for k in values}, first))
+            return self.bind_all(values, lambda got: with_values(got, first))
 
         if kind == M.SCALAR:
             return finish(lambda m, _: {m.name: self.root_value(m, a, e, at, et, None) if m.level == "root" else scalar(m, a, e, at, et, self.source)}, None, [], [], [])
@@ -371,8 +379,8 @@ def compiled(df: DataFrame, config: EvalConfig | None = None, actual: str = "act
     compiler = Compiler(config, F.col(source) if source else None, null_is_absent)
     at, et = df.schema[actual].dataType, df.schema[expected].dataType if expected else None
     root = compiler.part(F.col(actual), F.col(expected) if expected else F.lit(None), at, et, config.top(), F.lit("$"), F.lit("$"), "", 0, lambda p: p, root=True)
-    for name, x in compiler.stages:
-        df = df.withColumn(name, x)
+    for columns in compiler.stages:
+        df = df.withColumns(columns)
     return df, root
 
 

@@ -171,7 +171,7 @@ class _NumberMetric(FieldMetric):
     def score(self, actual, expected):
         def rest(a, e):
             a, e = parse_number(a), parse_number(e)
-            return 0.0 if a is None or e is None else self.numbers(a, e)
+            return 0.0 if a is None or e is None or a != a or e != e else self.numbers(a, e)  # nan equals nothing
 
         return _graded(actual, expected, rest)
 
@@ -211,7 +211,7 @@ class ExponentialNumericScore(_NumberMetric):
         self.scale = scale
 
     def numbers(self, a, e):
-        return math.exp(-abs(a - e) / self.scale)
+        return 1.0 if a == e else math.exp(-abs(a - e) / self.scale)
 
 
 def to_day(x: Any) -> date | None:

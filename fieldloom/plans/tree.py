@@ -109,10 +109,11 @@ class Builder:
             if not m.fits(kind, root):
                 raise ValueError(f"{m.name} cannot score {kind} nodes")
             return m
-        if self.key_metric is not None:
-            m = made(self.key_metric)
-            if m.fits(kind, root):
-                return m
+        if (which := self.key_metric) is not None:
+            # a name may stand for a metric that needs arguments; its class tells whether it fits
+            cls = M.get_metric_class(which) if isinstance(which, str) else type(which)
+            if (cls.__new__(cls) if isinstance(which, str) else which).fits(kind, root):
+                return made(which)
         return M.MeanScore()
 
     def node(self, a: Any, e: Any, cfg: Any, path: str, expected_path: str, key: str, state: dict) -> Node:

@@ -14,7 +14,8 @@ from fieldloom.plans import tree, typed
 
 def windowed_scores(df: DataFrame, time: str, score: str, length: str = "1 hour", late: str | None = None) -> DataFrame:
     """(start, n, score): mean scores by time windows; on a stream, rows later than ``late`` are dropped."""
-    df = df.withWatermark(time, late) if late else df
+    if late:
+        df = df.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
     out = df.groupBy(F.window(time, length)).agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("score"))
     return out.select(F.col("window.start").alias("start"), "n", "score")
 

@@ -207,7 +207,7 @@ def test_compiled_and_tree_plans_agree(spark):
     ]
     text = spark.createDataFrame([(str(i), json.dumps(a), json.dumps(e)) for i, (a, e) in enumerate(pairs)], "id string, ta string, te string")
     df = text.selectExpr("id", f"from_json(ta, '{kind}') actual", f"from_json(te, '{kind}') expected", "ta", "te")
-    config = EvalConfig(metrics=["object_prf1", "overall_leaf_score"], fields={"total": FieldConfig(metrics=["numeric"], weight=2.0), "id": FieldConfig(metrics=["regex_match"]), "items": ArrayFieldConfig(strategy="by_key", params={"key": "sku"}, metrics=["array_f1"]), "tags": ArrayFieldConfig(metrics=["array_jaccard_similarity"])})
+    config = EvalConfig(metrics=["overall_leaf_score"], fields={"total": FieldConfig(metrics=["numeric"], weight=2.0), "id": FieldConfig(metrics=["regex_match"]), "items": ArrayFieldConfig(strategy="by_key", params={"key": "sku"}, metrics=["array_f1"]), "tags": ArrayFieldConfig(metrics=["array_jaccard_similarity"])})
 
     def flat(reports):
         return {(r.sample_id, r.path): (r.kind, round(r.score, 9), {k: round(v, 9) for k, v in r.metrics.items()}) for r in R.nodes(reports).collect()}

@@ -8,6 +8,7 @@ what they do with nulls, ties, repeated rows and the like.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fieldloom.llm import nearcopies, packing, secrets, suffixes, toxicity
 from fieldloom.llm._store import stored, table
@@ -35,7 +36,7 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's pieces with their sequences."""
-    return packing.pack(docs)
+    return packing.pack(packing.counted(docs), F.col("n_tokens"))
 
 
 STAGES = [("toxicity", toxicity_stage), ("near_copies", near_copy_stage), ("passages", passage_stage), ("secrets", secret_stage), ("packing", packing_stage)]

@@ -38,7 +38,7 @@ def op7_topk_search(spark, sf_dir):
 
 
 def op8_packing(spark, sf_dir):
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(packing.counted(table(spark, sf_dir, "documents")), F.col("n_tokens"))
 
 
 def op9_licence_scan(spark, sf_dir):

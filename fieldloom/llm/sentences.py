@@ -303,6 +303,17 @@ def encode(docs: DataFrame, model: str = MODEL, parity: bool = True) -> DataFram
     return docs.select(column(docs, "doc_id", "bigint"), column(docs, "text", "string")).mapInArrow(run, SCHEMA)
 
 
+def count(docs: DataFrame, model: str = MODEL) -> DataFrame:
+    """(doc_id, n_tokens) of each document, without the ids and the checks of ``encode``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, (size, *_) in encode_strings(batch.column(1), model, False):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(size)], names=["doc_id", "n_tokens"])
+
+    return docs.select(column(docs, "doc_id", "bigint"), column(docs, "text", "string")).mapInArrow(run, "doc_id bigint, n_tokens bigint")
+
+
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """(doc_id, text) from (doc_id, ids): null ids give a null text, ids outside the model an error."""
 

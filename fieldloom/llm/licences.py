@@ -6,6 +6,11 @@ and a template match if 2|A & B| / (|A| + |B|) over their sets of word bigrams r
 ``THRESHOLD``.  A unit whose size is outside [t/(2-t), (2-t)/t] times the template's can't
 reach t, so such templates are never compared.
 
+Whatever the layout, runs of words that overlap no unit matched for the licence are compared as
+well: from every word, those of all lengths up to (2-t)/t times the template's.  Of the best
+run from each word, those at the threshold are taken, the highest Dice first (then the
+earliest, then the shortest), if they overlap none taken before.
+
 Defined results: null, empty and one-word texts and empty tables give no row; a null ``doc_id``
 is carried as null; repeated rows are each reported; ties between templates give a row each;
 columns other than ``doc_id`` and ``text`` are ignored.
@@ -120,8 +125,84 @@ def _matches(unit: np.ndarray, pairs: np.ndarray, codes, bounds, flat, sizes, th
     return unit[good], template[good], dice[good]
 
 
+def _best_runs(pairs: np.ndarray, held: np.ndarray, free: np.ndarray, size: int, least: int, most: int, threshold: float):
+    """(first bigram, number of bigrams, Dice) of the best run from each place, where it reaches the threshold.
+
+    held: which bigrams the template has; free: those that a run may hold.
+    """
+    n = len(pairs)
+    order = np.argsort(pairs, kind="stable")
+    again = np.full(n, 2 * n + most)  # where each bigram stands next
+    equal = pairs[order][1:] == pairs[order][:-1]
+    again[order[:-1][equal]] = order[1:][equal]
+    closed = np.r_[0, np.cumsum(~free)]
+    place = np.arange(n)
+    best, length = np.zeros(n), np.zeros(n, np.int64)
+    for k in range(least, min(most, n) + 1):
+        # a bigram counts in the runs of which it is the last of its kind
+        low, high = np.maximum(place - k + 1, 0), np.minimum(place, again - k) + 1
+        counts = high > low
+        every, ours = (np.cumsum(np.bincount(low[c], minlength=n + 1) - np.bincount(high[c], minlength=n + 1))[: n - k + 1] for c in (counts, counts & held))
+        dice = np.where(closed[k:] == closed[: n - k + 1], 2 * ours / (every + size), 0.0)
+        better = np.flatnonzero(dice > best[: n - k + 1])
+        best[better], length[better] = dice[better], k
+    good = np.flatnonzero(best >= threshold)
+    return good, length[good], best[good]
+
+
+def _runs(same: np.ndarray, doc: np.ndarray, pairs: np.ndarray, table, templates, threshold: float, found: dict) -> None:
+    """Adds to ``found`` the runs of words, in no range that it has for the licence, that match a template."""
+    codes, bounds, flat, sizes = table
+    at = np.minimum(np.searchsorted(codes, pairs), len(codes) - 1)
+    hit = np.flatnonzero((codes[at] == pairs) & same)
+    at = at[hit]
+    n = bounds[at + 1] - bounds[at]
+    which = flat[np.repeat(bounds[at] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())]
+    place = np.repeat(hit, n)
+    taken: dict[str, np.ndarray] = {}
+    for (_, licence), spans in found.items():
+        marks = taken.setdefault(licence, np.zeros(len(doc) + 1, np.int64))
+        for a, b in spans:
+            marks[a] += 1
+            marks[b + 1] -= 1
+    taken = {licence: np.cumsum(marks) > 0 for licence, marks in taken.items()}
+    runs: dict[tuple[int, str], list[tuple[float, int, int]]] = {}
+    for t in np.unique(which).tolist():
+        licence, b = templates[t][0], int(sizes[t])
+        least = max(1, int(np.ceil(b * threshold / (2 - threshold) - 1e-9)))
+        most = int((len(re.findall("[a-z0-9]+", templates[t][1].lower())) - 1) * (2 - threshold) / threshold + 1e-9)
+        p = place[which == t]
+        if licence in taken:
+            p = p[~(taken[licence][p] | taken[licence][p + 1])]
+        if len(p) < least:
+            continue
+        own = np.unique(pairs[p])
+        first, last = p[: len(p) - least + 1], p[least - 1 :]
+        near = (last - first < most) & (doc[first] == doc[last])
+        first, last = first[near], last[near]
+        if not len(first):
+            continue
+        low = np.maximum(last - most + 1, np.searchsorted(doc, doc[first]))
+        high = np.minimum(first + most, np.searchsorted(doc, doc[first], "right") - 1)
+        new = np.flatnonzero(np.r_[True, low[1:] > np.maximum.accumulate(high)[:-1]])
+        for x, y in zip(low[new].tolist(), np.maximum.reduceat(high, new).tolist()):
+            free = np.ones(y - x, bool) if licence not in taken else ~(taken[licence][x:y] | taken[licence][x + 1 : y + 1])
+            begin, length, dice = _best_runs(pairs[x:y], np.isin(pairs[x:y], own), free, b, least, most, threshold)
+            runs.setdefault((int(doc[x]), licence), []).extend(zip((-dice).tolist(), (begin + x).tolist(), length.tolist()))
+    for key, candidates in runs.items():
+        if not candidates:
+            continue
+        spans = found.setdefault(key, {})
+        first = min(a for _, a, _ in candidates)
+        used = np.zeros(max(a + k for _, a, k in candidates) - first + 1, bool)
+        for minus, a, k in sorted(candidates):
+            if not used[a - first : a - first + k + 1].any():
+                used[a - first : a - first + k + 1] = True
+                spans[a, a + k] = -minus
+
+
 def find(texts: pa.Array, templates=TEMPLATES, threshold: float = THRESHOLD) -> Iterator[tuple[int, str, float, int]]:
-    """(row, licence, highest Dice, number of distinct unit ranges that match) for each text and licence."""
+    """(row, licence, highest Dice, number of distinct ranges of words that match) for each text and licence."""
     table = _templates(templates)
     for first, _, part in _text.string_chunks(texts):
         w = _text.words(part, _BREAKS, fold=True)
@@ -147,6 +228,8 @@ def find(texts: pa.Array, templates=TEMPLATES, threshold: float = THRESHOLD) ->
                 spans = found.setdefault((int(w.doc[head[u]]), templates[t][0]), {})
                 where = (int(head[u]), int(tail[u]))
                 spans[where] = max(d, spans.get(where, 0.0))
+        if len(pairs):
+            _runs(same, w.doc, pairs, table, templates, threshold, found)
         for (row, licence), spans in sorted(found.items()):
             yield first + row, licence, max(spans.values()), len(spans)
 

@@ -4,7 +4,11 @@ A candidate is a maximal run of at least ``MIN_LENGTH`` characters of ``[A-Za-z0
 Its class is ``hex``, ``alnum`` or ``base64``; a window of ``WINDOW`` characters slides over
 it, its character counts updated by the one that enters and the one that leaves, and the
 candidate is a secret if one window that mixes the kinds of characters its class demands
-reaches the entropy of the class.  Strings on the allow-list are never reported.
+reaches the entropy of the class.
+
+A candidate that is none, or that the allow-list matches somewhere, is split at ``=``, then at ``-`` and
+``_``, then at ``+`` and ``/``, and its parts of ``MIN_LENGTH`` or more are judged likewise, each by its own
+class.  Parts that a match of the allow-list touches are never reported.
 
 Defined results: a null or empty text and an empty table give no row; a null ``doc_id`` is
 carried as null; repeated rows are each reported; texts of any length are scanned whole;
@@ -29,7 +33,7 @@ MIN_LENGTH = 20
 WINDOW = 20
 #: Bits a character. A window of 20 characters reaches 4.32 at most, 4.0 with 16 symbols.
 THRESHOLDS = {"hex": 2.55, "alnum": 3.45, "base64": 3.75}
-#: Searched in a candidate; one hit suppresses it.
+#: Searched in a candidate and its parts; a hit suppresses the part that it touches.
 ALLOW = (
     r"(?i)example", r"(?i)placeholder", r"(?i)your[-_]?(api|key|token|secret)", r"(?i)changeme", r"(?i)dummy", r"(?i)redacted",
     r"(?i)0123456789abcdef", r"(?i)abcdefghijklmnop", r"(?i)x{8,}", r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
@@ -39,6 +43,7 @@ MARK = "[SECRET]"
 _ALPHABET = np.array([b < 128 and (chr(b).isalnum() or chr(b) in "+/=_-") for b in range(256)])
 _HEX = re.compile(r"[0-9a-fA-F]+\Z")
 _ALNUM = re.compile(r"[0-9A-Za-z]+\Z")
+_SPLITS = (re.compile("[^=]+"), re.compile("[^=_-]+"), re.compile("[^=_+/-]+"))
 _NLOGN = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 2)]  # a character enters before another leaves
 
 
@@ -71,12 +76,28 @@ def window_entropy(candidate: str, mixed: int) -> float:
     return best
 
 
-def judge(candidate: str, allow: list[re.Pattern]) -> tuple[str, float] | None:
-    kind = kind_of(candidate)
-    entropy = window_entropy(candidate, 2 if kind == "base64" else 1)
-    if entropy < THRESHOLDS[kind] or any(a.search(candidate) for a in allow):
-        return None
-    return kind, entropy
+def judge(candidate: str, allow: list[re.Pattern]) -> list[tuple[int, int, str, float]]:
+    """(first character, character after the last, kind, entropy) of each secret in a candidate, in order."""
+    out: list[tuple[int, int, str, float]] = []
+
+    def part(first: int, stop: int, level: int, hits: list[tuple[int, int]], judged: bool = False) -> None:
+        text = candidate[first:stop]
+        if not judged:
+            hits = hits + [(first + m.start(), first + m.end()) for a in allow for m in a.finditer(text)]
+        if not judged and not any(x < stop and y > first for x, y in hits):
+            kind = kind_of(text)
+            entropy = window_entropy(text, 2 if kind == "base64" else 1)
+            if entropy >= THRESHOLDS[kind]:
+                out.append((first, stop, kind, entropy))
+                return
+        if level == len(_SPLITS):
+            return
+        for m in _SPLITS[level].finditer(text):
+            if m.end() - m.start() >= MIN_LENGTH:
+                part(first + m.start(), first + m.end(), level + 1, hits, m.end() - m.start() == stop - first)
+
+    part(0, len(candidate), 0, [])
+    return out
 
 
 def find(texts: pa.Array, allow: tuple[str, ...] = ALLOW) -> Iterator[tuple[int, int, int, str, float, str]]:
@@ -93,7 +114,8 @@ def find(texts: pa.Array, allow: tuple[str, ...] = ALLOW) -> Iterator[tuple[int,
             if found := judge(candidate, patterns):
                 before = data[offsets[row] : a]
                 at = int(np.count_nonzero((before & 0xC0) != 0x80))
-                yield first + row, at, at + b - a, *found, candidate
+                for x, y, kind, entropy in found:
+                    yield first + row, at + x, at + y, kind, entropy, candidate[x:y]
 
 
 def scan(docs: DataFrame, allow: tuple[str, ...] = ALLOW) -> DataFrame:

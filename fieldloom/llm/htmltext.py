@@ -7,6 +7,11 @@ of half, a quarter of half and so on, as far as ``LEVELS``.  An ancestor's score
 share of its text inside links.  The best container is kept, with those of its siblings that score a
 fifth of it or are paragraphs of mostly plain text.
 
+Elements that by their tag (``_SUSPECT``) or their class, id or role (``_UNLIKELY``) are no content are left
+out only if they hold fewer than ``SUSPECT_CHARS`` characters or a third of their text is in links, each
+without what is left out within it.  If the result is shorter than a share ``NEARLY_EMPTY`` of the plain
+text left out, the page is extracted again with all of them.
+
 Defined results: null, empty and tagless ``html`` give an empty or the plain text, score 0; ties go to the
 container that opens first; unclosed, stray and misnested tags are repaired; every row gives
 a row, null ids and repeated rows included; an empty table gives none; extra columns are ignored.
@@ -25,6 +30,7 @@ from fieldloom.llm._store import column
 
 MIN_CHARS = 25
 LEVELS = 5
+SUSPECT_CHARS, SUSPECT_LINKED, NEARLY_EMPTY = 200, 1 / 3, 1 / 5
 SIBLING_SHARE, SIBLING_LEAST = 0.2, 10.0
 SCHEMA = "page_id bigint, title string, text string, n_chars bigint, score double"
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
@@ -36,19 +42,20 @@ _ENDS_P = _BLOCK - {"body", "html"}
 _SAME = {"li": ("ul", "ol"), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "dt": ("dl",), "dd": ("dl",), "option": ("select",)}
 _UNLIKELY = re.compile(r"\b(?:ad|ads|advert\w*|banner|breadcrumb\w*|comment\w*|cookie\w*|footer|menu|nav|navbar|navigation|popup|promo\w*|related|share|sharing|sidebar|social|sponsor\w*|widget)\b", re.I)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_DROPPED = frozenset("nav footer aside form button select iframe object".split())
+_SUSPECT = frozenset("nav footer aside form button".split())
+_DROPPED = frozenset("select iframe object".split())
 _BLANKS = re.compile(r"\s+")
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "kids", "chars", "linked", "points", "dropped", "order", "blocks", "has_points")
+    __slots__ = ("tag", "parent", "kids", "chars", "linked", "points", "dropped", "order", "blocks", "has_points", "suspect")
 
     def __init__(self, tag: str, parent: _Node | None, order: int, dropped: bool):
         self.tag, self.parent, self.order, self.dropped = tag, parent, order, dropped
         self.kids: list = []
         self.chars = self.linked = 0
         self.points = 0.0
-        self.blocks = self.has_points = False
+        self.blocks = self.has_points = self.suspect = False
 
 
 def parse(source: str) -> tuple[_Node, list[_Node], str]:
@@ -116,9 +123,11 @@ def parse(source: str) -> tuple[_Node, list[_Node], str]:
                 links -= at.tag == "a"
                 at = at.parent
         dropped = at.dropped or name in _DROPPED
-        if not dropped and name not in ("body", "html", "article", "main") and attributes and ("class" in attributes or "id" in attributes or "role" in attributes or attributes.isupper()):
-            dropped = any(_UNLIKELY.search(a or b or c) for a, b, c in _NAMES.findall(attributes))
+        suspect = name in _SUSPECT
+        if not dropped and not suspect and name not in ("body", "html", "article", "main") and attributes and ("class" in attributes or "id" in attributes or "role" in attributes or attributes.isupper()):
+            suspect = any(_UNLIKELY.search(a or b or c) for a, b, c in _NAMES.findall(attributes))
         node = _Node(name, at, len(nodes), dropped)
+        node.suspect = suspect
         if name in _BLOCK:
             up = at
             while up is not None and not up.blocks:
@@ -154,15 +163,31 @@ def extract(source: str | None) -> tuple[str, str, float]:
     """(title, main text, score of the container)."""
     if not source:
         return "", "", 0.0
+    title, text, score, lost = _extract(source, True)
+    if len(text) < NEARLY_EMPTY * lost:
+        again = _extract(source, False)
+        if len(again[1]) > len(text):
+            return again[:3]
+    return title, text, score
+
+
+def _extract(source: str, drop: bool) -> tuple[str, str, float, int]:
+    """(title, main text, score of the container, characters outside links that were left out)."""
     root, nodes, title = parse(source)
     commas: dict[int, int] = {}
+    lost = 0
     for node in reversed(nodes):  # sums over subtrees
         own = sum(k.count(",") + k.count("，") + k.count("、") for k in node.kids if isinstance(k, str)) if not node.dropped else 0
         commas[node.order] = commas.get(node.order, 0) + own
+        if drop and node.suspect and not node.dropped and (node.chars < SUSPECT_CHARS or node.linked >= node.chars * SUSPECT_LINKED):
+            node.dropped = True
+            lost += node.chars - node.linked
         if node.parent is not None and not node.dropped:
             node.parent.chars += node.chars
             node.parent.linked += node.linked
             commas[node.parent.order] = commas.get(node.parent.order, 0) + commas[node.order]
+    for node in nodes[1:]:
+        node.dropped |= node.parent.dropped
     for node in nodes:
         if node.dropped or node.chars < MIN_CHARS or not (node.tag in _SCORED or node.tag in _PLAIN and not node.blocks):
             continue
@@ -179,7 +204,7 @@ def extract(source: str | None) -> tuple[str, str, float]:
             if score > top:
                 best, top = node, score
     if best is root:
-        return title, render(root), 0.0
+        return title, render(root), 0.0, lost
     least = max(SIBLING_LEAST, top * SIBLING_SHARE)
     kept = []
     for k in best.parent.kids:
@@ -189,7 +214,7 @@ def extract(source: str | None) -> tuple[str, str, float]:
             density = k.linked / k.chars if k.chars else 0.0
             if k.points * (1 - density) >= least or k.tag == "p" and (density < 0.25 if k.chars > 80 else k.chars > 0 and density == 0):
                 kept.append(k)
-    return title, "\n".join(t for k in kept if (t := render(k))), top
+    return title, "\n".join(t for k in kept if (t := render(k))), top, lost
 
 
 def scan(pages: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ occurs twice or more in the corpus, within one document or in several.  A run of
 is a gram; its anchor is the lowest hash among the shorter runs of ``ANCHOR`` words within it, so
 equal grams have equal anchors.  Consecutive grams of a document with one anchor make a
 context.  Contexts meet by anchor.  All but one of identical contexts are
-repeats outright; the different contexts of an anchor go, as words, to one task that sorts their suffixes
+repeats outright; the different contexts of an anchor (if these have more than ``SORTED_WORDS`` words, those of an anchor and
+a second hash of the other shorter runs) go, as words, to one task that sorts their suffixes
 in two stages: only those smaller than their successors are sorted directly, the others are
 induced from these by one scan over the buckets.  Common prefixes of
 adjacent suffixes then tell which grams are equal.
@@ -34,8 +35,9 @@ from fieldloom.llm._store import column, stored
 
 LEAST = 50
 ANCHOR = 8
-#: Words whose suffixes are sorted at once; the contexts of one anchor always stay together.
+#: Words whose suffixes are sorted at once; the contexts of one anchor stay together up to this many; see ``split``.
 SORTED_WORDS = 400_000
+_SECOND = np.uint64(0xD1B54A32D192ED03)
 
 
 def lowest(codes: np.ndarray, width: int) -> np.ndarray:
@@ -73,6 +75,22 @@ def contexts(w: _text.Words, least: int = LEAST, anchor: int = ANCHOR):
     return w.doc[start], start - base, stop - start, short[at[start]], own
 
 
+def split(short: np.ndarray, first: np.ndarray, grams: np.ndarray, code: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(context, first gram in it, grams, key) of the parts of contexts: equal grams of one anchor have equal keys.
+
+    A gram's key joins the anchor's code with the lowest second hash of its other short runs.  short: codes of
+    all short runs; first: where each context's first one stands; code: of the anchors; width: short runs in a gram.
+    """
+    out = []
+    for k, (a, n, c) in enumerate(zip(first.tolist(), grams.tolist(), code)):
+        own = short[a : a + n + width - 1]
+        second = np.where(own == c, np.uint64(0xFFFFFFFFFFFFFFFF), _text.mix(own ^ _SECOND))
+        low = second[lowest(second, width)]
+        head = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
+        out.append((np.full(len(head), k), head, np.diff(np.r_[head, n]), _text.mix(low[head] ^ c)))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Places of all suffixes in their order. text: integers from 0; the last one occurs nowhere else.
 
@@ -92,9 +110,10 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     direct = np.flatnonzero(smaller)
     padded = np.r_[text, np.full(3, -1)] + 1
     size = np.int64(padded.max() + 1)
-    if size >= 1 << 21:
-        raise ValueError("too many symbols for one suffix array")
-    key = (padded[:-2] * size + padded[1:-1]) * size + padded[2:]
+    pair = padded[:-2] * size + padded[1:-1]
+    if size >= 1 << 21:  # three symbols take more than 63 bits, so the rank of the first two stands for them
+        pair = np.unique(pair, return_inverse=True)[1] + 1
+    key = pair * size + padded[2:]
     key = np.r_[key, 0]
     order = direct[np.argsort(key[direct], kind="stable")]
     group = np.cumsum(np.r_[True, key[order][1:] != key[order][:-1]]) - 1 if len(order) else np.zeros(0, np.int64)
@@ -201,25 +220,37 @@ def ranges(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR) -> DataFra
     same, alike = Window.partitionBy("anchor", "context"), Window.partitionBy("anchor")
     met = met.repartition("anchor").withColumn("nth", F.dense_rank().over(same.orderBy(*place))).withColumn("copies", F.max("nth").over(same.orderBy(*place).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     met = met.withColumn("mixed", F.min("context").over(alike) != F.max("context").over(alike)).filter("mixed OR copies > 1")
+    met = met.withColumn("large", F.sum(F.when(F.col("nth") == 1, F.col("grams") + least - 1).otherwise(0)).over(alike) > SORTED_WORDS)
     met = stored(met.drop("context"), "contexts")
     plain = met.filter("NOT mixed OR nth > 1").select("doc_id", "text_hash", "start", "grams", (F.col("nth") == 1).alias("first"))
     open_ = met.filter("mixed AND nth = 1").distinct()
-    wanted = open_.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "grams", "anchor", "copies")).alias("wanted"))
+    wanted = open_.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "grams", "anchor", "copies", "large")).alias("wanted"))
     cut = source.join(wanted, _keys(source, wanted)).select(source["doc_id"], source["text_hash"], "text", "wanted")
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, part in _text.string_chunks(batch.column(2)):
                 lists = batch.column(3).slice(a, b - a)
-                w = _text.words(part, codes=False)
                 flat = lists.flatten()
+                large = flat.field(4).to_numpy(zero_copy_only=False)
+                w = _text.words(part, codes=bool(large.any()))
                 doc = np.repeat(np.arange(b - a), lists.value_lengths().to_numpy(zero_copy_only=False))
                 start, grams = (flat.field(k).to_numpy().astype(np.int64) for k in (0, 1))
                 base = np.searchsorted(w.doc, doc) + start
+                code, whole = flat.field(2).to_numpy(), np.arange(len(flat))
+                if large.any():
+                    few = min(anchor, least)
+                    which = np.flatnonzero(large)
+                    of, inner, size, key = split(_text.grams(_text.word_codes(w), few), base[which], grams[which], code[which].view(np.uint64), least - few + 1)
+                    rest = np.flatnonzero(~large)
+                    whole = np.r_[rest, which[of]]
+                    code, grams = np.r_[code[rest], key.view(np.int64)], np.r_[grams[rest], size]
+                    start, base = (np.r_[x[rest], x[which[of]] + inner] for x in (start, base))
+                    doc = doc[whole]
                 first, last = w.starts[base], w.ends[base + grams + least - 2]
                 texts = pa.array([w.data[x:y].tobytes() for x, y in zip(first.tolist(), last.tolist())], pa.binary()).cast(pa.string())
                 at = pa.array(a + doc)
-                yield pa.RecordBatch.from_arrays([flat.field(2), batch.column(0).take(at), batch.column(1).take(at), flat.field(0), flat.field(1), flat.field(3), texts], names=["anchor", "doc_id", "text_hash", "start", "grams", "copies", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(code), batch.column(0).take(at), batch.column(1).take(at), pa.array(start.astype(np.int32)), pa.array(grams.astype(np.int32)), flat.field(3).take(pa.array(whole)), texts], names=["anchor", "doc_id", "text_hash", "start", "grams", "copies", "words"])
 
     sliced = cut.mapInArrow(slices, "anchor bigint, doc_id bigint, text_hash bigint, start int, grams int, copies int, words string")
     sliced = sliced.repartition("anchor").sortWithinPartitions("anchor", *place)

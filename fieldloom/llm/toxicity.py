@@ -4,16 +4,18 @@ A word enters as a word input (its log-odds among labelled documents and a learn
 embedding) and a character input (the highest and the mean log-odds of its byte n-grams and
 the mean of their learned embeddings).  The network reads windows of ``WINDOW`` words that
 overlap by half; every window of every document is scored and a document is toxic if its
-highest score reaches the threshold, which is set on labelled documents held out of training.
+highest score reaches the threshold.  This is set on the scores of all labelled documents, each
+scored by a network that was trained on the other ``CROSSED - 1`` parts of them.
 
-Training takes at most ``TRAIN_ROWS`` labelled documents of either class, the first by a hash
-of ``doc_id``: a document's label is that of its worst window, picked anew as training goes on.
+Training takes at most ``TRAIN_ROWS`` labelled documents of either class and ``TRAIN_BYTES`` of their texts,
+the first by a hash of ``doc_id``: a document's label is that of its worst window, picked anew as training
+goes on.  It sums in a fixed order, whatever the number of threads, so equal rows give equal networks.
 
 Defined results: a null or wordless text has no window and is not toxic; a null ``doc_id`` is
 carried as null; repeated rows are each judged; texts are scored whole, whatever their length;
 a score equal to the threshold is toxic; an empty table gives no row; without labels of both
-classes nothing is toxic; of contradictory labels of one document the toxic one holds; null labels and
-labels of unknown documents are ignored; other columns are kept by ``clean`` and ignored by ``scan``.
+classes nothing is toxic; of contradictory labels of one document the toxic one holds; null labels,
+labels of unknown documents and those of texts over a sixteenth of ``TRAIN_BYTES`` are ignored; other columns are kept by ``clean`` and ignored by ``scan``.
 """
 
 from __future__ import annotations
@@ -23,25 +25,25 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.llm import _text
 from fieldloom.llm._store import column
 
-TRAIN_ROWS = 1000
+TRAIN_ROWS, TRAIN_BYTES = 1000, 4 << 20
 WINDOW, STRIDE = 64, 32
 HIDDEN, LEARNED = 8, 3
 INPUTS = 3 + 2 * LEARNED
 WORD_BUCKETS, GRAM_BUCKETS = 1 << 17, 1 << 16
 GRAM_SIZES = (3, 4, 5)
 SHRINK = 2.0
-EPOCHS, STEPS, BATCH, RATE = 6, 240, 128, 0.01  # as many epochs as make so many steps, EPOCHS at least
-LEARNED_RATE = 0.005
+EPOCHS, STEPS, BATCH, RATE = 3, 80, 128, 0.04  # as many epochs as make so many steps, EPOCHS at least; the weights are means over the latter half
+LEARNED_RATE = 0.0005
 RESCANS = 3  # times that the worst windows are picked
 FOLDS = 4  # a document's log-odds in training come from the labels of the other folds
 LEAN = 0.75
-HELD_OUT = 5  # one labelled document in so many sets the threshold
+CROSSED = 3  # networks that score what they were not trained on
 SCHEMA = "doc_id bigint, windows bigint, worst_word bigint, score double"
 _SEPARATORS = _text.SPACE | _text.PUNCT
 
@@ -132,11 +134,16 @@ def _indices(inverse: np.ndarray, start: np.ndarray, stop: np.ndarray, pad: int)
     return out
 
 
-def _states(projected: np.ndarray, state: np.ndarray, index: np.ndarray, places, keep: list | None = None) -> Iterator[tuple[int, np.ndarray]]:
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a @ b, summed in the same order by any number of threads."""
+    return np.einsum("ij,jk->ik", a, b)
+
+
+def _states(projected: np.ndarray, state: np.ndarray, index: np.ndarray, places, keep: list | None = None, product=np.matmul) -> Iterator[tuple[int, np.ndarray]]:
     """The hidden state after each place, in the order of ``places``. The last row of ``projected`` keeps the state as it is."""
     h = np.zeros((index.shape[1], HIDDEN), np.float32)
     for t in places:
-        g, u = np.take(projected, index[t], axis=0), h @ state
+        g, u = np.take(projected, index[t], axis=0), product(h, state)
         gates = _squash(g[:, : 2 * HIDDEN] + u[:, : 2 * HIDDEN])
         gates *= 0.5
         gates += 0.5
@@ -156,28 +163,35 @@ def _squash(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _projected(x: np.ndarray, layer) -> np.ndarray:
+def _projected(x: np.ndarray, layer, product=np.matmul) -> np.ndarray:
     """Projections of the inputs and, last, of the padding: its update gate is shut."""
     hold = np.zeros((1, 3 * HIDDEN), np.float32)
     hold[0, :HIDDEN] = 1e9
-    return np.concatenate([x @ layer[0] + layer[2], hold]).astype(np.float32)
+    return np.concatenate([product(x, layer[0]) + layer[2], hold]).astype(np.float32)
+
 
+def logits(m: Model, x: np.ndarray, index: np.ndarray, product=np.matmul) -> np.ndarray:
+    """One for each column of ``index``."""
+    return _logits(m, _projected(x, m.forward, product), _projected(x, m.backward, product), index, product)
 
-def logits(m: Model, x: np.ndarray, index: np.ndarray) -> np.ndarray:
-    """One for each column of ``index``. Attention is summed as the backward states come."""
+
+def _logits(m: Model, ahead: np.ndarray, behind: np.ndarray, index: np.ndarray, product=np.matmul) -> np.ndarray:
+    """ahead, behind: projections of the inputs. Attention is summed as the backward states come."""
     forward = np.empty((WINDOW, index.shape[1], HIDDEN), np.float32)
-    for t, h in _states(_projected(x, m.forward), m.forward[1], index, range(WINDOW)):
+    for t, h in _states(ahead, m.forward[1], index, range(WINDOW), product=product):
         forward[t] = h
-    n, pad = index.shape[1], len(x)
+    n, pad = index.shape[1], len(ahead) - 1
     total, pooled = np.zeros(n, np.float32), np.zeros(n, np.float32)
-    for t, h in _states(_projected(x, m.backward), m.backward[1], index, range(WINDOW - 1, -1, -1)):
-        a = np.exp(np.clip(forward[t] @ m.attention[:HIDDEN] + h @ m.attention[HIDDEN:], -30, 30)) * (index[t] < pad)
+    ends = np.stack([m.attention, m.out], 1)
+    for t, h in _states(behind, m.backward[1], index, range(WINDOW - 1, -1, -1), product=product):
+        both = product(forward[t], ends[:HIDDEN]) + product(h, ends[HIDDEN:])
+        a = np.exp(np.clip(both[:, 0], -30, 30)) * (index[t] < pad)
         total += a
-        pooled += a * (forward[t] @ m.out[:HIDDEN] + h @ m.out[HIDDEN:])
+        pooled += a * both[:, 1]
     return pooled / np.maximum(total, 1e-30) + m.bias
 
 
-def judge(m: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def judge(m: Model, texts: pa.Array, product=np.matmul) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(windows, first word of the worst, its score) of each text; -1 without a window."""
     n = len(texts)
     count, worst, best = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, -1.0)
@@ -189,7 +203,8 @@ def judge(m: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray
         _, first, inverse = np.unique(codes, return_index=True, return_inverse=True)
         x = inputs(types_of(w, codes, first), m.words, m.grams, m.word_table, m.gram_table)
         owner, start, stop = windows(w.doc, b - a)
-        score = np.concatenate([logits(m, x, _indices(inverse, start[k : k + 1024], stop[k : k + 1024], len(x))) for k in range(0, len(start), 1024)]).astype(np.float64)
+        sides = [_projected(x, layer, product) for layer in (m.forward, m.backward)]
+        score = np.concatenate([_logits(m, *sides, _indices(inverse, start[k : k + 1024], stop[k : k + 1024], len(x)), product) for k in range(0, len(start), 1024)]).astype(np.float64)
         score = 1 / (1 + np.exp(-score))
         count[a:b] = np.bincount(owner, minlength=b - a)
         order = np.lexsort((start, -score, owner))
@@ -223,16 +238,16 @@ def _gradients(params: dict, x: np.ndarray, index: np.ndarray, label: np.ndarray
     layers = {"f": (params["Wf"], params["Uf"], params["bf"]), "b": (params["Wb"], params["Ub"], params["bb"])}
     kept: dict[str, list] = {"f": [], "b": []}
     states = np.zeros((WINDOW, n, 2 * HIDDEN), np.float32)
-    for t, h in _states(_projected(x, layers["f"]), layers["f"][1], index, range(WINDOW), kept["f"]):
+    for t, h in _states(_projected(x, layers["f"], _product), layers["f"][1], index, range(WINDOW), kept["f"], _product):
         states[t, :, :HIDDEN] = h
-    for t, h in _states(_projected(x, layers["b"]), layers["b"][1], index, range(WINDOW - 1, -1, -1), kept["b"]):
+    for t, h in _states(_projected(x, layers["b"], _product), layers["b"][1], index, range(WINDOW - 1, -1, -1), kept["b"], _product):
         states[t, :, HIDDEN:] = h
-    a = np.exp(np.clip(states @ params["v"], -30, 30)) * (index < pad)
+    a = np.exp(np.clip(np.einsum("tnh,h->tn", states, params["v"]), -30, 30)) * (index < pad)
     a /= np.maximum(a.sum(0), 1e-30)
     pooled = np.einsum("tn,tnh->nh", a, states)
-    p = 1 / (1 + np.exp(-(pooled @ params["o"] + params["b0"][0])))
+    p = 1 / (1 + np.exp(-(np.einsum("nh,h->n", pooled, params["o"]) + params["b0"][0])))
     d = ((p - label) / n).astype(np.float32)
-    grads = {"o": pooled.T @ d, "b0": np.array([d.sum()], np.float32)}
+    grads = {"o": np.einsum("nh,n->h", pooled, d), "b0": np.array([d.sum()], np.float32)}
     dpool = d[:, None] * params["o"]
     da = np.einsum("tnh,nh->tn", states, dpool)
     da = a * (da - (a * da).sum(0))
@@ -253,21 +268,41 @@ def _gradients(params: dict, x: np.ndarray, index: np.ndarray, label: np.ndarray
             dr = dc * uc * 0.5 * (1 - np.abs(2 * r - 1)) ** 2
             np.concatenate([dz, dr, dc], 1, out=dg[t])
             du = np.concatenate([dz, dr, dc * r], 1)
-            carry = dh * z + du @ U.T
-            dU += before.T @ du
+            carry = dh * z + np.einsum("nk,hk->nh", du, U)
+            dU += np.einsum("nh,nk->hk", before, du)
         projected = np.add.reduceat(dg.reshape(-1, 3 * HIDDEN)[order], heads)  # by word
         projected = projected[:-1] if padding else projected
-        dx += projected @ W.T
-        grads |= {f"W{side}": x.T @ projected, f"U{side}": dU, f"b{side}": projected.sum(0)}
+        dx += np.einsum("wk,ik->wi", projected, W)
+        grads |= {f"W{side}": np.einsum("wi,wk->ik", x, projected), f"U{side}": dU, f"b{side}": projected.sum(0)}
     return grads, dx
 
 
 def train(texts: list[str], toxic: list[int], seed: int = 7) -> Model | None:
-    """None without documents of both classes."""
-    label = np.array(toxic, bool)
+    """None without documents of both classes, or words."""
+    label, column_ = np.array(toxic, bool), pa.array([t or "" for t in texts], pa.large_string())
+    made = _network(column_, label, seed)
+    if made is None:
+        return None
+    part, rng = np.zeros(len(label), np.int64), np.random.default_rng(seed + 1)
+    for kind in (True, False):
+        own = rng.permutation(np.flatnonzero(label == kind))
+        part[own] = np.arange(len(own)) % CROSSED
+    scores, labels = [], []
+    for k in range(CROSSED):
+        rest, own = np.flatnonzero(part != k), np.flatnonzero(part == k)
+        other = _network(column_.take(pa.array(rest)), label[rest], seed)
+        if other is not None and len(own):
+            scores.append(judge(other, column_.take(pa.array(own)), _product)[2])
+            labels.append(label[own])
+    if not scores:  # one document of a class: it can't be held out
+        scores, labels = [judge(made, column_, _product)[2]], [label]
+    return made._replace(threshold=_threshold(np.concatenate(scores), np.concatenate(labels)))
+
+
+def _network(column_: pa.Array, label: np.ndarray, seed: int) -> Model | None:
+    """A trained network, its threshold not yet set."""
     if not len(label) or label.all() or not label.any():
         return None
-    column_ = pa.array([t or "" for t in texts], pa.large_string())
     w = _text.words(column_, _SEPARATORS, fold=True)
     if not len(w.starts):
         return None
@@ -275,17 +310,11 @@ def train(texts: list[str], toxic: list[int], seed: int = 7) -> Model | None:
     codes = _text.word_codes(w)
     _, first, inverse = np.unique(codes, return_index=True, return_inverse=True)
     types = types_of(w, codes, first)
-    held = np.zeros(len(label), bool)
-    for kind in (True, False):  # at least one of each stays in training
-        own = rng.permutation(np.flatnonzero(label == kind))
-        held[own[: len(own) // HELD_OUT]] = True
-    used = ~held[w.doc]
-    word_doc, word_type = w.doc[used], inverse[used]
     fold = np.zeros(len(label), np.int64)
     for kind in (True, False):
         own = rng.permutation(np.flatnonzero(label == kind))
         fold[own] = np.arange(len(own)) % FOLDS
-    pair = np.unique(word_doc * np.int64(len(first)) + word_type)
+    pair = np.unique(w.doc * np.int64(len(first)) + inverse)
 
     def words_seen(step: int = 50_000):
         """Distinct words by document, some whole documents at a time."""
@@ -307,8 +336,6 @@ def train(texts: list[str], toxic: list[int], seed: int = 7) -> Model | None:
     params |= {"v": scale(2 * HIDDEN), "o": scale(2 * HIDDEN), "b0": np.zeros(1, np.float32), "ew": scale(WORD_BUCKETS, LEARNED) * 0.1, "eg": scale(GRAM_BUCKETS, LEARNED) * 0.1}
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in params.items()}
     owner, start, stop = windows(w.doc, len(label))
-    usable = ~held[owner]
-    owner, start, stop = owner[usable], start[usable], stop[usable]
 
     def model(threshold: float = 0.5) -> Model:
         return Model(odds[-1], gram_odds[-1], params["ew"], params["eg"], (params["Wf"], params["Uf"], params["bf"]), (params["Wb"], params["Ub"], params["bb"]), params["v"], params["o"], float(params["b0"][0]), threshold)
@@ -321,7 +348,8 @@ def train(texts: list[str], toxic: list[int], seed: int = 7) -> Model | None:
         order = np.lexsort((rng.random(len(score)), -score, owner))
         return order[np.r_[True, owner[order][1:] != owner[order][:-1]]]
 
-    step, kinds = 0, np.bincount(label[~held], minlength=2)
+    step, kinds = 0, np.bincount(label, minlength=2)
+    average, averaged = {k: np.zeros_like(v) for k, v in params.items()}, 0
     epochs = max(EPOCHS, -(-STEPS * BATCH // int(4 * kinds.max())))
     for epoch in range(epochs):
         if epoch % -(-epochs // RESCANS) == 0:
@@ -338,10 +366,11 @@ def train(texts: list[str], toxic: list[int], seed: int = 7) -> Model | None:
         else:
             score = np.empty(len(start), np.float32)
             for f in range(FOLDS):
-                own = np.flatnonzero(fold[owner] == f)
+                own, now = np.flatnonzero(fold[owner] == f), model()
+                both = [_projected(x[f], layer, _product) for layer in (now.forward, now.backward)]
                 for k in range(0, len(own), 1024):
                     part = own[k : k + 1024]
-                    score[part] = logits(model(), x[f], _indices(inverse, start[part], stop[part], len(types.words)))
+                    score[part] = _logits(now, *both, _indices(inverse, start[part], stop[part], len(types.words)), _product)
         picked = worst(score) if score is not None else picked
         chosen = picked
         clean = np.flatnonzero(~label[owner])
@@ -380,9 +409,12 @@ def train(texts: list[str], toxic: list[int], seed: int = 7) -> Model | None:
                 m2 = moments[name][1]
                 m2[at] += total * total
                 params[name][at] -= LEARNED_RATE * total / (np.sqrt(m2[at]) + 1e-6)
-    made = model()
-    _, _, score = judge(made, column_.take(pa.array(np.flatnonzero(held))) if held.any() else column_)
-    return made._replace(threshold=_threshold(score, label[held] if held.any() else label))
+            if epoch >= epochs // 2:
+                averaged += 1
+                for name, v in params.items():
+                    average[name] += (v - average[name]) / averaged
+    params.update(average)
+    return model()
 
 
 def _threshold(score: np.ndarray, label: np.ndarray) -> float:
@@ -397,14 +429,16 @@ def _threshold(score: np.ndarray, label: np.ndarray) -> float:
     return float(1 / (1 + np.exp(-(edge(low) + LEAN * (edge(high) - edge(low))))))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], list[int]]:
-    """At most ``rows`` labelled texts of either class, the first by hash of doc_id."""
+def labelled(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES) -> tuple[list[str], list[int]]:
+    """At most ``rows`` labelled texts and ``size`` bytes of either class, the first by hash of doc_id."""
     known = labels.select(column(labels, "doc_id", "bigint"), column(labels, "toxic", "int")).filter("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = [known.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for k in (0, 1)]
     texts = docs.select(column(docs, "doc_id", "bigint"), column(docs, "text", "string"))
     both = chosen[0].unionByName(chosen[1])  # 2 * rows at most, so it may be broadcast
-    found = texts.join(F.broadcast(both), "doc_id").filter("text IS NOT NULL").toArrow()
-    order = np.argsort(found["doc_id"].to_numpy(), kind="stable")
+    found = texts.join(F.broadcast(both), "doc_id").filter(F.octet_length("text") <= size // 16)
+    so_far = F.sum(F.octet_length("text")).over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0))
+    found = found.withColumn("so_far", so_far).filter(F.col("so_far") <= size).select("doc_id", "text", "toxic", F.xxhash64("text").alias("code")).toArrow()
+    order = np.lexsort((found["code"].to_numpy(), found["doc_id"].to_numpy()))
     found = found.take(pa.array(order))
     return found["text"].to_pylist(), found["toxic"].to_pylist()
 

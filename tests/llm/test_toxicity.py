@@ -1,4 +1,7 @@
+import os
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -90,6 +93,67 @@ def test_gradients_are_those_of_small_differences():
         assert dx[k, k] == pytest.approx((up - down) / 2e-2, abs=2e-3)
 
 
+def test_network_is_a_plain_gated_recurrent_one_with_attention():
+    """Each window in turn, in loops, against the batches."""
+    r = np.random.default_rng(5)
+    H, D = toxicity.HIDDEN, toxicity.INPUTS
+    layer = lambda: (r.standard_normal((D, 3 * H)), r.standard_normal((H, 3 * H)), r.standard_normal(3 * H))
+    f, b, v, o = layer(), layer(), r.standard_normal(2 * H), r.standard_normal(2 * H)
+    x = r.standard_normal((9, D)).astype(np.float32)
+    index = r.integers(0, 9, (toxicity.WINDOW, 6))
+    index[5:, 1], index[1:, 2], index[63:, 3] = 9, 9, 9
+    m = toxicity.Model(None, None, None, None, f, b, v, o, 0.3, 0.5)
+    got = toxicity.logits(m._replace(forward=tuple(a.astype(np.float32) for a in f), backward=tuple(a.astype(np.float32) for a in b), attention=v.astype(np.float32), out=o.astype(np.float32)), x, index)
+    soft = lambda a: a / (1 + np.abs(a))
+    for n in range(6):
+        words = [x[i] for i in index[:, n] if i < 9]
+
+        def pass_over(words, W, U, bias):
+            h, out = np.zeros(H), []
+            for w in words:
+                g, u = w @ W + bias, h @ U
+                z, reset = (soft(g[k * H : k * H + H] + u[k * H : k * H + H]) / 2 + 0.5 for k in (0, 1))
+                c = soft(g[2 * H :] + reset * u[2 * H :])
+                h = z * h + (1 - z) * c
+                out.append(h)
+            return out
+
+        states = [np.r_[p, q] for p, q in zip(pass_over(words, *f), pass_over(words[::-1], *b)[::-1])]
+        weight = np.exp([s @ v for s in states])
+        want = sum(a * s for a, s in zip(weight / weight.sum(), states)) @ o + 0.3
+        assert got[n] == pytest.approx(want, abs=2e-3)
+
+
+def test_equal_rows_give_equal_networks_by_any_number_of_threads():
+    code = "import hashlib, test_toxicity as t; m = t.toxicity.train([t.text(k, k % 4 == 0) for k in range(60)], [int(k % 4 == 0) for k in range(60)]); print(hashlib.md5(b''.join(a.tobytes() for a in (*m[:4], *m.forward, *m.backward, m.attention, m.out)) + repr((m.bias, m.threshold)).encode()).hexdigest())"
+    here = os.path.dirname(os.path.abspath(__file__))
+    path = os.pathsep.join([here, os.path.dirname(os.path.dirname(here))])
+    said = {subprocess.run([sys.executable, "-c", code], env={**os.environ, "PYTHONPATH": path, "OPENBLAS_NUM_THREADS": n}, capture_output=True, text=True, check=True).stdout for n in ("1", "8")}
+    assert len(said) == 1 and len(said.pop().strip()) == 32
+
+
+def test_few_labels_of_the_tables_catch_documents_that_were_held_out():
+    import pyarrow.parquet as pq
+
+    at = "/root/testdata/sf0.01"
+    texts = dict(zip(*(pq.read_table(f"{at}/documents.parquet")[c].to_pylist() for c in ("doc_id", "text"))))
+    labels = pq.read_table(f"{at}/labels.parquet")
+    rows = [(texts[i], t) for i, t in zip(labels["doc_id"].to_pylist(), labels["toxic"].to_pylist()) if texts.get(i)]
+    own, rest = [r for k, r in enumerate(rows) if k % 4], [r for k, r in enumerate(rows) if not k % 4]
+    model = toxicity.train(*zip(*own))
+    hit = judged(model, [t for t, _ in rest])
+    y = np.array([t for _, t in rest]) == 1
+    # about a third of the toxic labels there are of texts that hold no such word
+    assert hit[y].mean() >= 0.4 and hit[~y].mean() <= 0.03
+
+
+def test_training_texts_are_bounded_in_bytes(spark):
+    docs = frame(spark, [(k, "some words of a text " * (3 if k % 5 else 400)) for k in range(60)])
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id bigint, toxic int")
+    texts, toxic = toxicity.labelled(docs, labels, 100, 1600)
+    assert max(map(len, texts)) <= 100 and 0 < sum(len(t) for t, y in zip(texts, toxic) if y) <= 1600 and sum(len(t) for t, y in zip(texts, toxic) if not y) <= 1600
+
+
 def test_scan_and_clean(spark, model):
     rows = [*ODD, (10, text(1, True)), (10, text(1, True)), (11, text(2, False)), (12, None)]
     docs = frame(spark, rows)

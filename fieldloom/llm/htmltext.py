@@ -2,8 +2,8 @@
 
 Each paragraph (``p``, ``pre``, ``td``, ``blockquote``, and a ``div`` or the like that holds
 text but no block) passes points to its ancestors: 1, one for each comma, and one for each 100
-characters up to 3.  The parent gets all of them, the grandparent half, the next ones a third
-of half, a quarter of half and so on, as far as ``LEVELS``.  An ancestor's score is discounted by its link density, the
+characters up to 3.  The parent gets all of them, the grandparent half, the next ones half
+of that, a third of it and so on, as far as ``LEVELS``.  An ancestor's score is discounted by its link density, the
 share of its text inside links.  The best container is kept, with those of its siblings that score a
 fifth of it or are paragraphs of mostly plain text.
 
@@ -15,6 +15,7 @@ text left out, the page is extracted again with all of them.
 Defined results: null, empty and tagless ``html`` give an empty or the plain text, score 0; ties go to the
 container that opens first; unclosed, stray and misnested tags are repaired; every row gives
 a row, null ids and repeated rows included; an empty table gives none; extra columns are ignored.
+Work is linear in a page's length, whatever its tags and quotes.
 """
 
 from __future__ import annotations
@@ -33,12 +34,18 @@ LEVELS = 5
 SUSPECT_CHARS, SUSPECT_LINKED, NEARLY_EMPTY = 200, 1 / 3, 1 / 5
 SIBLING_SHARE, SIBLING_LEAST = 0.2, 10.0
 SCHEMA = "page_id bigint, title string, text string, n_chars bigint, score double"
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+#: A tag whose attributes hold neither < nor >, as most do; no part can match a text twice, so failing is linear too.
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9-]*+)([^<>\"']*+(?:\"[^<>\"]*+\"[^<>\"']*+|'[^<>']*+'[^<>\"']*+)*+)>")
+_NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9-]*+)")
+_STOP = re.compile(r"[>\"']")
+#: Elements whose content is no text of the page.
+_RAW = {name: re.compile(rf"</{name}\s*+>", re.I) for name in ("script", "style", "noscript", "template", "textarea", "svg")}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body center dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table tbody td tfoot th thead tr ul".split())
 _SCORED = frozenset("p pre td blockquote".split())
 _PLAIN = frozenset("div section article main li dd body".split())
 _ENDS_P = _BLOCK - {"body", "html"}
+_KEEPS_P = ("table", "td", "th", "div", "section", "article", "body", "li", "blockquote", "button")
 _SAME = {"li": ("ul", "ol"), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "dt": ("dl",), "dd": ("dl",), "option": ("select",)}
 _UNLIKELY = re.compile(r"\b(?:ad|ads|advert\w*|banner|breadcrumb\w*|comment\w*|cookie\w*|footer|menu|nav|navbar|navigation|popup|promo\w*|related|share|sharing|sidebar|social|sponsor\w*|widget)\b", re.I)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -58,70 +65,102 @@ class _Node:
         self.blocks = self.has_points = self.suspect = False
 
 
+def tags(source: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(first character, character after the last, whether it closes, name, attributes) of each tag; comments, declarations and the content of ``_RAW`` elements have no name.
+
+    A tag ends at the first > outside quotes.  Before a quote that is never closed, quotes mean nothing.
+    """
+    at, last, plain = 0, source.rfind(">"), 0
+    while (at := source.find("<", at)) >= 0:
+        begin = at
+        m = _TAG.match(source, at)
+        if m:
+            closing, name, attributes = m.groups()
+            at = m.end()
+        elif source.startswith("<!--", at):
+            at = source.find("-->", at + 4)
+            at = len(source) if at < 0 else at + 3
+            yield begin, at, False, "", ""
+            continue
+        elif at > last:
+            return
+        elif source.startswith(("<!", "<?"), at):
+            at = source.find(">", at) + 1
+            yield begin, at, False, "", ""
+            continue
+        elif m := _NAME.match(source, at):
+            closing, name = m.groups()
+            end = m.end()
+            while at >= plain and (stop := _STOP.search(source, end)) and stop.group() != ">":
+                end = source.find(stop.group(), stop.end()) + 1
+                if not end:
+                    plain = stop.end()
+            end = source.find(">", m.end() if at < plain else end)
+            if end < 0:  # the quoted ones were the last
+                plain, end = len(source), source.find(">", m.end())
+            attributes, at = source[m.end() : end], end + 1
+        else:
+            at += 1
+            continue
+        name = name.lower()
+        if name in _RAW and not closing and not (name == "svg" and attributes.endswith("/")):
+            m = _RAW[name].search(source, at)
+            at, name = m.end() if m else len(source), ""
+        yield begin, at, bool(closing), name, attributes
+
+
 def parse(source: str) -> tuple[_Node, list[_Node], str]:
     """The root, all nodes in order, and the title's text."""
     root = _Node("#root", None, 0, False)
-    nodes, at, links, title = [root], root, 0, None
+    nodes, path, title = [root], [root], []
+    places: dict[str, list[int]] = {}  # where in ``path`` the open elements of each name stand
+    blocks: list[int] = []  # and the open blocks
     end = 0
 
     def text(piece: str) -> None:
-        nonlocal title
+        at = path[-1]
         if "&" in piece:
             piece = _html.unescape(piece)
         if at.tag == "title":
-            title = (title or "") + piece
+            title.append(piece)
         elif piece and at.tag != "head":
             at.kids.append(piece)
             n = len(piece.strip())
             if n and not at.dropped:
                 at.chars += n
-                if links:
+                if places.get("a"):
                     at.linked += n
 
-    for m in _TOKEN.finditer(source):
-        if m.start() > end:
-            text(source[end : m.start()])
-        end = m.end()
-        name = m.group(3)
-        if name is None:
+    def deepest(*names: str) -> int:
+        return max((places[n][-1] for n in names if places.get(n)), default=0)
+
+    def close(depth: int) -> None:
+        while len(path) > depth:
+            tag = path.pop().tag
+            places[tag].pop()
+            if tag in _BLOCK:
+                blocks.pop()
+
+    for first, last, closing, name, attributes in tags(source):
+        if first > end:
+            text(source[end:first])
+        end = last
+        if not name:
             continue
-        name = name.lower()
-        if m.group(2):
-            node = at
-            while node is not None and node.tag != name:
-                if name not in _BLOCK and node.tag in _BLOCK:
-                    node = None
-                    break
-                node = node.parent
-            if node is not None and node.parent is not None:
-                while at is not node.parent:
-                    links -= at.tag == "a"
-                    at = at.parent
+        if closing:
+            depth = deepest(name)
+            if depth and (name in _BLOCK or not blocks or blocks[-1] < depth):
+                close(depth)
             continue
-        attributes = m.group(4)
         if name in _VOID:
             if name in ("br", "hr"):
-                at.kids.append("\n")
+                path[-1].kids.append("\n")
             continue
-        close = None
-        if name in _ENDS_P:
-            node = at
-            while node is not None and node.tag not in ("table", "td", "th", "div", "section", "article", "body", "li", "blockquote", "button"):
-                if node.tag == "p":
-                    close = node
-                    break
-                node = node.parent
-        if close is None and name in _SAME:
-            node = at
-            while node is not None and node.tag not in _SAME[name]:
-                if node.tag == name:
-                    close = node
-                    break
-                node = node.parent
-        if close is not None:
-            while at is not close.parent:
-                links -= at.tag == "a"
-                at = at.parent
+        if name in _ENDS_P and places.get("p") and places["p"][-1] > deepest(*_KEEPS_P):
+            close(places["p"][-1])
+        elif name in _SAME and deepest(name) > deepest(*_SAME[name]):
+            close(deepest(name))
+        at = path[-1]
         dropped = at.dropped or name in _DROPPED
         suspect = name in _SUSPECT
         if not dropped and not suspect and name not in ("body", "html", "article", "main") and attributes and ("class" in attributes or "id" in attributes or "role" in attributes or attributes.isupper()):
@@ -136,11 +175,13 @@ def parse(source: str) -> tuple[_Node, list[_Node], str]:
         at.kids.append(node)
         nodes.append(node)
         if not attributes.endswith("/"):
-            at = node
-            links += name == "a"
+            places.setdefault(name, []).append(len(path))
+            if name in _BLOCK:
+                blocks.append(len(path))
+            path.append(node)
     if end < len(source):
         text(source[end:])
-    return root, nodes, _BLANKS.sub(" ", title or "").strip()
+    return root, nodes, _BLANKS.sub(" ", "".join(title)).strip()
 
 
 def render(node: _Node) -> str:

@@ -50,4 +50,4 @@ def op10_near_dedup(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_html_extraction, op3_suffix_dedup, op4_toxicity, op5_secret_scan, op6_nearest_neighbours, op7_topk_search, op8_packing, op9_licence_scan, op10_near_dedup)}
-ORACLES = {"op3_suffix_dedup": suffixes.ORACLE, "op5_secret_scan": secrets.ORACLE, "op7_topk_search": topk.ORACLE, "op9_licence_scan": licences.ORACLE}
+ORACLES = {"op3_suffix_dedup": suffixes.ORACLE, "op5_secret_scan": secrets.ORACLE, "op6_nearest_neighbours": neighbours.ORACLE, "op7_topk_search": topk.ORACLE, "op9_licence_scan": licences.ORACLE}

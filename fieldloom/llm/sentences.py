@@ -7,9 +7,11 @@ library's threads.  ``parity`` compares the ids with those of the SentencePiece
 
 If no piece has a marker after another character, no token crosses the place before a run of
 markers, and a text is the chain of its units, each a run of spaces and what follows.  Then each
-distinct unit is encoded, compared and decoded once for a worker and texts are put together
+distinct unit is encoded and decoded once for a worker and texts are put together
 from the ids.  A model whose normaliser changes characters or collapses spaces, and a text
-that holds the marker itself, are encoded, compared and decoded as whole texts.
+that holds the marker itself, are encoded and decoded as whole texts.  Parity is always that of whole texts: the
+SentencePiece library encodes each text as it stands and all its ids are compared.  (With a unigram model it sums the
+scores of a whole text in 32 bits, so of nearly equal segmentations of a long one it may take the second; ``same_ids`` tells.)
 
 Defined results: a null text gives null ids, count 0 and is in parity; an empty text gives no ids; a null
 ``doc_id`` and repeated rows are carried; texts are encoded whole, whatever their length; an
@@ -19,6 +21,7 @@ empty table gives no row; columns other than ``doc_id`` and ``text`` are ignored
 from __future__ import annotations
 
 import os
+import re
 import struct
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -107,6 +110,48 @@ def read(data: bytes) -> Model:
     return Model(pieces, kind, bool(trainer.get(35, 0)), unknown, normaliser.get(2, b""), bool(normaliser.get(3, 1)), bool(normaliser.get(4, 1)), bool(normaliser.get(5, 1)))
 
 
+def character_map(data: bytes) -> dict[str, str]:
+    """The replacements of a precompiled map: a double-array trie of UTF-8 keys, whose leaves are places in a block of strings."""
+    size = int.from_bytes(data[:4], "little")
+    units, strings = np.frombuffer(data, "<u4", size // 4, 4).astype(np.int64), data[4 + size :]
+    out: dict[str, str] = {}
+    offset = lambda unit: (unit >> 10) << ((unit & 512) >> 6)
+    stack, labels = [(b"", offset(int(units[0])))], np.arange(1, 256)
+    while stack:
+        key, node = stack.pop()
+        at = node ^ labels
+        at = np.where(at < len(units), at, 0)
+        for label in labels[(units[at] & 0x800000FF) == labels].tolist():
+            unit = int(units[node ^ label])
+            longer, below = key + bytes([label]), (node ^ label) ^ offset(unit)
+            if unit >> 8 & 1:
+                start = int(units[below]) & 0x7FFFFFFF
+                out[longer.decode()] = strings[start : strings.index(b"\0", start)].decode()
+            stack.append((longer, below))
+    return out
+
+
+class CharacterMap:
+    """Replaces, from the left, the longest keys of a map."""
+
+    def __init__(self, table: dict[str, str]):
+        self.table, self.longest = table, max(map(len, table))
+        one, two = ("".join(sorted({k[n] for k in table if len(k) >= n + 1 and (n or len(k) == 1)})) for n in (0, 1))
+        self.begins = re.compile("|".join([*([f"[{re.escape(one)}]"] if one else []), *([f"(?s:.)(?=[{re.escape(two)}])"] if two else [])]))
+
+    def __call__(self, text: str) -> str:
+        out, done, at = [], 0, 0
+        while m := self.begins.search(text, at):
+            at = m.start()
+            found = next((k for n in range(self.longest, 0, -1) if (k := text[at : at + n]) in self.table), None)
+            if found is None:
+                at += 1
+                continue
+            out += [text[done:at], self.table[found]]
+            at = done = at + len(found)
+        return "".join([*out, text[done:]]) if out else text
+
+
 def merges(model: Model) -> list[tuple[str, str]]:
     """The pairs that make up each piece, best piece first; of one piece, by the ids of the halves."""
     known = {p.text: i for i, p in enumerate(model.pieces) if p.kind in (NORMAL, USER, UNUSED)}
@@ -135,9 +180,7 @@ def build(model: Model):
     else:
         core = models.BPE(vocab={n: i for i, n in enumerate(names)}, merges=merges(model), unk_token=names[model.unknown], fuse_unk=True, byte_fallback=model.byte_fallback)
     tokenizer = Tokenizer(core)
-    steps = []
-    if model.charsmap:
-        steps.append(normalizers.Precompiled(model.charsmap))
+    steps = []  # the character map comes before these, see Codec
     if model.collapse:
         steps += [normalizers.Replace(Regex("^ +| +$"), ""), normalizers.Replace(Regex(" {2,}"), " ")]
     if model.dummy_prefix:
@@ -158,10 +201,13 @@ class Codec:
     def __init__(self, data: bytes):
         self.model = read(data)
         self.tokenizer = build(self.model)
+        self.map = CharacterMap(character_map(self.model.charsmap)) if self.model.charsmap else None
         self.kinds = np.array([p.kind for p in self.model.pieces])
         self.bytes = [bytes([int(p.text[3:5], 16)]) if p.kind == BYTE else b"" if p.kind == CONTROL else b" \xe2\x81\x87 " if p.kind == UNKNOWN else p.text.replace(MARKER, " ").encode() for p in self.model.pieces]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
+        if self.map:
+            texts = [self.map(t) for t in texts]
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def decode(self, ids: list[int]) -> str:
@@ -172,48 +218,45 @@ class Codec:
 
     def normalise(self, text: str) -> str:
         """What a decoded text should be."""
+        text = self.map(text) if self.map else text
         out = self.tokenizer.normalizer.normalize_str(text).replace(MARKER, " ") if text else ""
         return out[1:] if self.model.dummy_prefix and out.startswith(" ") else out
 
 
 class _Units:
-    """Ids of distinct units by code, with their checks; kept sorted by code."""
+    """Ids of distinct units by code, and whether they give the unit again; kept sorted by code."""
 
-    def __init__(self, own: Codec, other, parity: bool):
-        self.own, self.other, self.parity = own, other, parity
+    def __init__(self, own: Codec):
+        self.own = own
         self.clear()
 
     def clear(self) -> None:
         self.codes = np.zeros(0, np.uint64)
         self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.same, self.back = np.zeros(0, bool), np.zeros(0, bool)
+        self.back = np.zeros(0, bool)
         self.flat = np.zeros(0, np.int32)
 
-    def encode(self, units: list[str]) -> tuple[list[list[int]], list[bool], list[bool]]:
+    def encode(self, units: list[str]) -> tuple[list[list[int]], list[bool]]:
         """A unit begins with a space, which is the marker that the normaliser puts before it."""
         own = self.own
         ids = own.encode([u[1:] for u in units])
         alone = own.tokenizer.model.tokenize(MARKER)
         ids = [x if len(u) > 1 else [t.id for t in alone] for u, x in zip(units, ids)]
-        back = [own.decode(x) == u[1:] for u, x in zip(units, ids)]
-        if not self.parity:
-            return ids, [True] * len(ids), back
-        same = [x == y or len(u) == 1 for u, x, y in zip(units, ids, self.other.encode([u[1:] for u in units], num_threads=THREADS))]
-        return ids, same, back
+        return ids, [own.decode(x) == u[1:] for u, x in zip(units, ids)]
 
     def add(self, codes: np.ndarray, units: list[str]) -> None:
-        ids, same, back = self.encode(units)
+        ids, back = self.encode(units)
         size = np.array([len(x) for x in ids], np.int64)
         begin = len(self.flat) + np.cumsum(size) - size
         self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.int32, size.sum())])
         joined = np.concatenate([self.codes, codes])
         order = np.argsort(joined, kind="stable")
         self.codes = joined[order]
-        for name, new in (("begin", begin), ("size", size), ("same", np.array(same, bool)), ("back", np.array(back, bool))):
+        for name, new in (("begin", begin), ("size", size), ("back", np.array(back, bool))):
             setattr(self, name, np.concatenate([getattr(self, name), new])[order])
 
     def texts(self, part: pa.Array):
-        """(size of each text, flat ids, in parity, restored)."""
+        """(size of each text, flat ids, restored)."""
         data, offsets = _text.raw(pc.binary_join_element_wise(pa.scalar("", pa.large_string()), part, pa.scalar(" ", pa.large_string())))
         space = data == 32
         start = space.copy()
@@ -243,15 +286,15 @@ class _Units:
         size = self.size[at]
         flat = self.flat[np.repeat(self.begin[at] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
         n = len(part)
-        return np.bincount(doc, size, n).astype(np.int64), flat, np.bincount(doc, ~self.same[at], n) == 0, np.bincount(doc, ~self.back[at], n) == 0
+        return np.bincount(doc, size, n).astype(np.int64), flat, np.bincount(doc, ~self.back[at], n) == 0
 
 
-_codecs: dict[tuple, tuple] = {}
+_codecs: dict[str, tuple] = {}
 
 
-def codec(path: str, parity: bool = True):
+def codec(path: str):
     """(our codec, the SentencePiece processor, the units so far) for a model file, once for each Python process."""
-    if (path, parity) not in _codecs:
+    if path not in _codecs:
         import sentencepiece
 
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
@@ -260,30 +303,43 @@ def codec(path: str, parity: bool = True):
             data = f.read()
         own, other = Codec(data), sentencepiece.SentencePieceProcessor(model_proto=data)
         m = own.model
-        units = _Units(own, other, parity) if separable(m) and m.dummy_prefix and m.escape and not m.charsmap and not m.collapse and not any(p.kind == USER for p in m.pieces) else None
-        _codecs[path, parity] = own, other, units
-    return _codecs[path, parity]
+        units = _Units(own) if separable(m) and m.dummy_prefix and m.escape and not m.charsmap and not m.collapse and not any(p.kind == USER for p in m.pieces) else None
+        _codecs[path] = own, other, units
+    return _codecs[path]
 
 
-def _whole(own: Codec, other, part: pa.Array, parity: bool):
+def _whole(own: Codec, part: pa.Array):
     strings = part.to_pylist()
     ids = own.encode(strings)
-    same = [x == y for x, y in zip(ids, other.encode(strings, num_threads=THREADS))] if parity else [True] * len(ids)
     back = [own.decode(x) == own.normalise(s) for x, s in zip(ids, strings)]
     size = np.array([len(x) for x in ids], np.int64)
-    return size, np.fromiter((i for x in ids for i in x), np.int32, size.sum()), np.array(same, bool), np.array(back, bool)
+    return size, np.fromiter((i for x in ids for i in x), np.int32, size.sum()), np.array(back, bool)
+
+
+def same_ids(other, part: pa.Array, size: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """Whether SentencePiece gives the same ids for each whole text, ``BATCH_BYTES`` of them at a time."""
+    out, end = np.zeros(len(part), bool), np.cumsum(size)
+    for a, b, some in _text.string_chunks(part, BATCH_BYTES):
+        for k, ids in enumerate(other.encode(some.to_pylist(), num_threads=THREADS), a):
+            out[k] = len(ids) == size[k] and np.array_equal(np.array(ids, np.int32), flat[end[k] - size[k] : end[k]])
+    return out
 
 
 def encode_strings(texts: pa.Array, model: str, parity: bool) -> Iterator[tuple[int, int, tuple]]:
     """(first row, row after the last, (sizes, flat ids, in parity, restored)); a null counts as empty."""
-    own, other, units = codec(model, parity)
+    own, other, units = codec(model)
+
+    def checked(part: pa.Array, found: tuple) -> tuple:
+        size, flat, back = found
+        return size, flat, same_ids(other, part, size, flat) if parity else np.ones(len(size), bool), back
+
     for a, b, part in _text.string_chunks(texts, CHUNK_BYTES if units else BATCH_BYTES):
         if units is None or pc.any(pc.match_substring(part, MARKER)).as_py():
             for c, d, small in _text.string_chunks(part, BATCH_BYTES):
                 plain = units is not None and not pc.any(pc.match_substring(small, MARKER)).as_py()
-                yield a + c, a + d, units.texts(small) if plain else _whole(own, other, small, parity)
+                yield a + c, a + d, checked(small, units.texts(small) if plain else _whole(own, small))
         else:
-            yield a, b, units.texts(part)
+            yield a, b, checked(part, units.texts(part))
 
 
 def encode(docs: DataFrame, model: str = MODEL, parity: bool = True) -> DataFrame:

@@ -97,7 +97,7 @@ def pack(docs: DataFrame, tokens: Column | None = None, capacity: int = CAPACITY
     shards = max(1, -(-total // shard_tokens))
 
     def shard_of(key: Column) -> Column:
-        return F.pmod(F.xxhash64(key, F.col("piece")), F.lit(shards))
+        return F.pmod(F.xxhash64(key, "piece", "n_tokens"), F.lit(shards))  # the tokens tell rows of a null or repeated id apart
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["n_tokens", "doc_id", "piece"], ascending=[False, True, True], kind="stable")

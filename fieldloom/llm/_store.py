@@ -12,8 +12,11 @@ DEFAULT_DIR = "spark-warehouse/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset, as in tests, one of our own."""
-    return spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_DIR
+    """The folder in ``spark.checkpoint.dir``; where that is unset, one of our own if all runs on this machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+    return found or DEFAULT_DIR
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -41,5 +44,16 @@ def column(df: DataFrame, name: str, kind: str, alias: str | None = None):
     return F.col(f"`{name}`").cast(kind).alias(alias or name)
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores added until no column of ``df`` (whatever its case) is called so."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def empty(spark: SparkSession, schema: StructType | str) -> DataFrame:
     return spark.createDataFrame([], schema)

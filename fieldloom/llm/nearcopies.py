@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.llm import _text
-from fieldloom.llm._store import column, discard, stored
+from fieldloom.llm._store import column, discard, free, stored
 
 SHINGLE = 3
 BANDS, ROWS = 32, 4
@@ -205,15 +205,16 @@ def edges(docs: DataFrame, signed: DataFrame, threshold: float = THRESHOLD) -> D
     return good.select("a", "b").unionByName(more.select("a", "b"))
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each node of a link is connected to.
 
     Each round hangs a node's larger neighbours on its smallest one, then its smaller
-    neighbours likewise, until nothing moves; every round is a written table.
+    neighbours likewise, until nothing moves, after about as many rounds as the logarithm of the
+    longest chain; every round is a written table.
     """
     now = stored(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "links")
     size = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    for _ in range(rounds):
+    while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.filter("b > a").join(least, "a").filter("b <> m").select(F.col("m").alias("a"), "b").distinct()
@@ -224,7 +225,6 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         was, size = size, now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if was == size:
             return now.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
-    raise RuntimeError("links are longer than any rounds can resolve")
 
 
 def _grouped(docs: DataFrame, threshold: float) -> DataFrame:
@@ -252,7 +252,8 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     keeper = pairs.groupBy("group").agg(F.min(rank).alias("keeper"), F.sum("n").alias("total")).filter("total > 1")
     kept = F.col("keeper.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("keeper.class") == F.col("class"))
     mark = pairs.join(keeper, "group").withColumn("state", F.when(~kept, 2).when(F.col("n") > 1, 1).otherwise(0)).filter("state > 0")
-    mark = mark.select(F.col("doc_id").alias("__mark_id"), F.col("class").alias("__mark_class"), F.col("state").alias("__mark_state"))
+    *keys, state, nth = free(docs, "__key", "__key_id", "__key_null", "__state", "__nth")
+    mark = mark.select(F.col("class").alias(keys[0]), F.coalesce("doc_id", F.lit(0)).alias(keys[1]), F.col("doc_id").isNull().alias(keys[2]), F.col("state").alias(state))
 
     @F.arrow_udf("bigint")
     def class_of(texts: pa.Array) -> pa.Array:
@@ -261,12 +262,9 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             out[a:b] = classes(*shingles(_text.words(part, _SEPARATORS, fold=True), b - a), b - a)
         return pa.array(out.view(np.int64))
 
-    def keyed(df, id_, class_):
-        return df.withColumns({"__k1": class_, "__k2": F.coalesce(id_, F.lit(0)), "__k3": id_.isNull()})
-
-    keys = ["__k1", "__k2", "__k3"]
-    own = keyed(docs, F.col("doc_id").cast("bigint"), class_of(F.col("text").cast("string")))
-    joined = own.join(keyed(mark, F.col("__mark_id"), F.col("__mark_class")).select(*keys, "__mark_state"), keys, "left")
+    id_ = F.col("doc_id").cast("bigint")
+    own = docs.withColumns({keys[0]: class_of(F.col("text").cast("string")), keys[1]: F.coalesce(id_, F.lit(0)), keys[2]: id_.isNull()})
+    joined = own.join(mark, keys, "left")
     # of rows that agree in id and class one stays; the join has brought them together
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*keys))
-    return joined.withColumn("__nth", nth).filter("__mark_state IS NULL OR (__mark_state = 1 AND __nth = 1)").select(*docs.columns)
+    ranked = joined.withColumn(nth, F.row_number().over(Window.partitionBy(*keys).orderBy(*keys)))
+    return ranked.filter(F.col(state).isNull() | ((F.col(state) == 1) & (F.col(nth) == 1))).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.llm import _text
-from fieldloom.llm._store import column, stored
+from fieldloom.llm._store import column, free, stored
 
 LEAST = 50
 ANCHOR = 8
@@ -321,8 +321,9 @@ def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
 def cut(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """``docs`` with the later occurrences of repeated passages taken out of ``text``; ``n_chars`` (if present) is kept true."""
-    found = ranges(docs, least).filter("NOT first").groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("__cuts"))
-    found = found.select(F.col("doc_id").alias("__cut_id"), F.col("text_hash").alias("__cut_hash"), "__cuts")
+    cut_id, cut_hash, cuts_ = free(docs, "__cut_id", "__cut_hash", "__cuts")
+    found = ranges(docs, least).filter("NOT first").groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias(cuts_))
+    found = found.select(F.col("doc_id").alias(cut_id), F.col("text_hash").alias(cut_hash), cuts_)
 
     @F.pandas_udf("string")
     def without(texts, cuts):
@@ -339,12 +340,12 @@ def cut(docs: DataFrame, least: int = LEAST) -> DataFrame:
         return out
 
     text = F.col("text").cast("string")
-    joined = docs.join(found, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__cut_id")) & (F.xxhash64(text) == F.col("__cut_hash")), "left")
-    new = F.when(F.col("__cuts").isNotNull(), without(text, F.col("__cuts"))).otherwise(text)
+    joined = docs.join(found, F.col("doc_id").cast("bigint").eqNullSafe(F.col(cut_id)) & (F.xxhash64(text) == F.col(cut_hash)), "left")
+    new = F.when(F.col(cuts_).isNotNull(), without(text, F.col(cuts_))).otherwise(text)
     out = joined.withColumn("text", new)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 #: DuckDB SQL for ``repeats``: grams are compared as strings of words.

@@ -20,3 +20,13 @@ def prose(seed, n, vocabulary=4000):
 
 
 ODD = [(None, "some text of nobody"), (1, None), (2, ""), (3, " \n\t "), (4, "one"), (4, "one"), (5, "日本語 text ünïcode"), (6, "!!! ... ###")]
+
+
+#: Names that ``keep_one`` and ``cut`` would use for columns of their own.
+HIDDEN = ("__key", "__key_id", "__KEY_NULL", "__state", "__nth", "__cuts", "__cut_id", "__cut_hash", "a.b")
+
+
+def clashing(df):
+    from pyspark.sql import functions as F
+
+    return df.withColumns({name: F.lit(name) for name in HIDDEN})

@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 
 from fieldloom.llm import _text, nearcopies
-from helpers import ODD, empty, frame, prose
+from helpers import HIDDEN, ODD, clashing, empty, frame, prose
 
 
 def bag(text):
@@ -100,6 +100,13 @@ def test_one_of_each_group_stays(spark):
     assert left == want
 
 
+def test_columns_of_any_name_stay(spark):
+    rows = corpus()[:60]
+    out = nearcopies.keep_one(clashing(frame(spark, rows)))
+    assert out.columns == clashing(frame(spark, rows)).columns and out.count() == nearcopies.keep_one(frame(spark, rows)).count()
+    assert all(r[name] == name for r in out.collect() for name in HIDDEN)
+
+
 def test_components(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(1, 40)] + [(100, 101), (102, 101), (7, 7)], "a bigint, b bigint")
     got = {r.node: r.root for r in nearcopies.components(links).collect()}

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from fieldloom.llm import suffixes
-from helpers import ODD, empty, frame, prose
+from helpers import HIDDEN, ODD, clashing, empty, frame, prose
 
 
 @pytest.mark.parametrize("seed", range(60))
@@ -75,6 +75,12 @@ def test_cut_leaves_one_occurrence(spark):
     assert got[2].text == prose(7, 30) and got[5].text == "" and got[2].n_chars == len(got[2].text)
 
 
+def test_columns_of_any_name_stay(spark):
+    docs = clashing(frame(spark, [(1, prose(5, 60)), (2, prose(5, 60)), (3, None)]))
+    out = suffixes.cut(docs)
+    assert out.columns == docs.columns and out.filter("text <> ''").count() == 1 and all(r[name] == name for r in out.collect() for name in HIDDEN)
+
+
 def test_rows_alike_in_id_and_text_are_one_document(spark):
     docs = frame(spark, [(1, prose(5, 60)), (1, prose(5, 60))])
     assert suffixes.repeats(docs).count() == 0 and suffixes.cut(docs).filter("text <> ''").count() == 2

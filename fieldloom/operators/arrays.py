@@ -28,6 +28,17 @@ def pairs_by_score(expected: Column, actual: Column, score: Callable[[Column, Co
     return F.when((_count(expected) > 0) & (_count(actual) > 0), F.array_sort(taken)).otherwise(start)
 
 
+def pairs_by_equality(expected: Column, actual: Column) -> Column:
+    """What ``pairs_by_score`` gives for null-safe equality: the n-th of equal items with the n-th, found by search and not by scoring all pairs."""
+
+    def numbered(x: Column) -> Column:
+        return F.transform(x, lambda v, i: F.struct(v.alias("v"), F.size(F.filter(F.slice(x, F.lit(1), i), lambda u: u.eqNullSafe(v))).alias("nth")))
+
+    find = lambda there: F.transform(numbered(expected), lambda v, i: F.struct(i.alias("e"), (F.array_position(there, v) - 1).cast("int").alias("a")))
+    found = F.get(F.transform(F.array(numbered(actual)), find), F.lit(0))  # so that it is numbered once
+    return F.when((_count(expected) > 0) & (_count(actual) > 0), F.filter(found, lambda p: p["a"] >= 0)).otherwise(F.array().cast(PAIRS))
+
+
 def align_by_index(expected: DataFrame, actual: DataFrame, group: list[str], place: str) -> DataFrame:
     """Items of two tables in the n-th place of a group side by side, a null side where one has no such item."""
     return _joined(_placed(expected, group, place), _placed(actual, group, place), [*group, "nth"])

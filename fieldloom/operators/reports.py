@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 def nodes(reports: DataFrame) -> DataFrame:
     """One row for each node, in the order of the tree."""
-    return reports.select("sample_id", F.posexplode("nodes").alias("place", "node")).select("sample_id", "place", "node.*")
+    # outer, since Spark would else compute the array a second time to filter out empty ones
+    return reports.select("sample_id", F.posexplode_outer("nodes").alias("place", "node")).filter("place IS NOT NULL").select("sample_id", "place", "node.*")
 
 
 def values(reports: DataFrame) -> DataFrame:
@@ -70,7 +71,7 @@ def field_breakdown(reports: DataFrame, threshold: float | None = None) -> DataF
 def consistency_fields(reports: DataFrame, group: str | None = None, variance_threshold: float = 0.05) -> DataFrame:
     """For each scalar path (of each group of runs): the variance of its score over the runs that have it."""
     keys = [group] if group else []
-    flat = reports.filter("NOT parse_error").select(*keys, F.explode("nodes").alias("n")).filter("n.kind = 'scalar' AND n.score IS NOT NULL")
+    flat = reports.filter("NOT parse_error").select(*keys, F.explode_outer("nodes").alias("n")).filter("n.kind = 'scalar' AND n.score IS NOT NULL")
     out = flat.groupBy(*keys, F.col("n.path").alias("path")).agg(F.count(F.lit(1)).alias("runs"), F.var_pop("n.score").alias("variance"))
     return out.withColumn("stable", F.col("variance") <= variance_threshold)
 

@@ -1,6 +1,7 @@
 """Documents of any shape: each row's two documents become a tree of scored nodes in one task.
 
-A row needs nothing of other rows, so there is no shuffle: rows go through in Arrow batches and
+A row needs nothing of other rows, so there is no shuffle (but for a table smaller than one partition
+a core, whose rows are dealt out): rows go through in Arrow batches and
 come out as one row per document that holds its nodes, array matches and warnings.
 """
 
@@ -30,13 +31,17 @@ SCHEMA = (
 )
 
 
+SCORES = "sample_id string, parse_error boolean, parse_error_message string, score double, score_label string, metrics map<string,double>"
+_json = json.JSONEncoder(ensure_ascii=False, default=str).encode
+
+
 def text_of(x: Any) -> str | None:
     """JSON of a value; null for none."""
-    return None if x is None else json.dumps(x, ensure_ascii=False, default=str)
+    return None if x is None else _json(x)
 
 
 class Node:
-    __slots__ = ("path", "expected_path", "key", "kind", "actual", "expected", "in_actual", "in_expected", "weight", "threshold", "metrics", "key_metric", "children", "missed", "spurious", "penalizes", "values", "extras", "source", "label")
+    __slots__ = ("path", "expected_path", "key", "kind", "actual", "expected", "in_actual", "in_expected", "weight", "threshold", "metrics", "key_metric", "order", "children", "missed", "spurious", "penalizes", "values", "extras", "source", "label")
 
     def __init__(self, path: str, expected_path: str, key: str, kind: str, actual: Any, expected: Any, source: str | None):
         self.path, self.expected_path, self.key, self.kind, self.actual, self.expected, self.source = path, expected_path, key, kind, actual, expected, source
@@ -70,6 +75,7 @@ class Builder:
 
     def __init__(self, config: EvalConfig):
         self.config = config
+        self.known: dict[tuple, tuple] = {}
         self.globals = [M.resolve(m) for m in config.metrics]
         usual = {M.SCALAR: M.ExactMatch, M.OBJECT: M.ObjectAccuracy, M.ARRAY: M.ArrayAccuracy}
         given = {M.SCALAR: config.default_scalar_metrics, M.OBJECT: config.default_object_metrics, M.ARRAY: config.default_array_metrics}
@@ -116,6 +122,15 @@ class Builder:
                 return made(which)
         return M.MeanScore()
 
+    def resolved(self, cfg: Any, kind: str, root: bool) -> tuple[list[M.Metric], M.Metric, list[M.Metric]]:
+        """(metrics, key metric, both in the order of computing), once for each place in the configuration."""
+        at = id(cfg), kind, root
+        if at not in self.known:
+            own = self.metrics(cfg, kind, root)
+            key = self.key_of(cfg, kind, root, own)
+            self.known[at] = own, key, [*(m for m in own if m is not key and m.name != key.name), key], cfg  # which keeps the id from being used again
+        return self.known[at][:3]
+
     def node(self, a: Any, e: Any, cfg: Any, path: str, expected_path: str, key: str, state: dict) -> Node:
         ref = e if e is not None else a
         kind = M.OBJECT if isinstance(ref, dict) else M.ARRAY if isinstance(ref, list) else M.SCALAR
@@ -123,8 +138,7 @@ class Builder:
         n = Node(path, expected_path, key, kind, a, e, state["source"])
         bar = getattr(cfg, "threshold", None)
         n.threshold, n.weight = 1.0 if bar is None else bar, getattr(cfg, "weight", 1.0)
-        n.metrics = self.metrics(cfg, kind, root)
-        n.key_metric = self.key_of(cfg, kind, root, n.metrics)
+        n.metrics, n.key_metric, n.order = self.resolved(cfg, kind, root)
         n.penalizes = self.config.extra_keys == ExtraKeysPolicy.PENALIZE
         if kind == M.OBJECT:
             left, right = (x if isinstance(x, dict) else {} for x in (a, e))
@@ -154,7 +168,7 @@ class Builder:
     def run(self, n: Node) -> None:
         for child in n.children:
             self.run(child)
-        for m in [*(m for m in n.metrics if m is not n.key_metric and m.name != n.key_metric.name), n.key_metric]:
+        for m in n.order:
             got = m.compute(n)
             extra = None
             if isinstance(got, tuple):
@@ -173,13 +187,16 @@ class Builder:
         return root, state
 
 
-def report(builder: Builder, sample_id: str | None, actual: Any, expected: Any, source: str | None) -> dict:
-    """One row of ``SCHEMA``. Texts are parsed; other values are documents as they are."""
+def report(builder: Builder, sample_id: str | None, actual: Any, expected: Any, source: str | None, table: bool = True) -> dict:
+    """One row of ``SCHEMA`` (of ``SCORES`` without the table of nodes). Texts are parsed; other values are documents as they are."""
     try:
         actual, expected = (parse(x) if isinstance(x, str) else x for x in (actual, expected))
     except ParseError as why:
-        return {"sample_id": sample_id, "parse_error": True, "parse_error_message": str(why), "score": None, "score_label": None, "nodes": [], "matches": [], "warnings": []}
+        rest = {"nodes": [], "matches": [], "warnings": []} if table else {"metrics": []}
+        return {"sample_id": sample_id, "parse_error": True, "parse_error_message": str(why), "score": None, "score_label": None, **rest}
     root, state = builder.evaluate(actual, expected, source)
+    if not table:
+        return {"sample_id": sample_id, "parse_error": False, "parse_error_message": None, "score": root.representative(), "score_label": root.key_metric.name, "metrics": list(root.values.items())}
     nodes = []
 
     def add(n: Node, depth: int) -> None:
@@ -195,6 +212,14 @@ def report(builder: Builder, sample_id: str | None, actual: Any, expected: Any,
     }
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """``df`` in as many parts as there are cores, if it is so small that files would give fewer; a larger one as it is."""
+    spark = df.sparkSession
+    cores, most = spark.sparkContext.defaultParallelism, spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * most else df
+
+
 def plain(x: Any) -> Any:
     """A column's value as a document."""
     if isinstance(x, dict):
@@ -206,21 +231,33 @@ def plain(x: Any) -> Any:
 
 def evaluate(df: DataFrame, config: EvalConfig | None = None, actual: str = "actual", expected: str | None = "expected", source: str | None = None, sample_id: str | None = None) -> DataFrame:
     """One report row for each row of ``df``: see ``SCHEMA``. Columns may be texts (JSON, else YAML) or nested."""
+    return _evaluated(df, config, actual, expected, source, sample_id, SCHEMA)
+
+
+def scores(df: DataFrame, config: EvalConfig | None = None, actual: str = "actual", expected: str | None = "expected", source: str | None = None, sample_id: str | None = None) -> DataFrame:
+    """The same without the nodes, matches and warnings, but with the root's metrics: see ``SCORES``."""
+    return _evaluated(df, config, actual, expected, source, sample_id, SCORES)
+
+
+def _evaluated(df: DataFrame, config: EvalConfig | None, actual: str, expected: str | None, source: str | None, sample_id: str | None, ddl: str) -> DataFrame:
     config = config or EvalConfig()
     Builder(config)  # what is wrong with it regardless of documents fails here
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    schema = to_arrow_schema(StructType.fromDDL(SCHEMA))
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
+
+    table = ddl == SCHEMA
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         builder = Builder(config)
         for batch in batches:
             for at in range(0, len(batch), 1000):
                 rows = batch.slice(at, 1000).to_pylist()
-                out = [report(builder, r["sample_id"], plain(r["a"]), plain(r["e"]), r["s"]) for r in rows]
+                out = [report(builder, r["sample_id"], plain(r["a"]), plain(r["e"]), r["s"], table) for r in rows]
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     null = F.lit(None).cast("string")
     name = F.col(sample_id).cast("string") if sample_id else null
-    return df.select(name.alias("sample_id"), F.col(actual).alias("a"), (F.col(expected) if expected else null).alias("e"), (F.col(source) if source else null).alias("s")).mapInArrow(run, SCHEMA)
+    narrow = df.select(name.alias("sample_id"), F.col(actual).alias("a"), (F.col(expected) if expected else null).alias("e"), (F.col(source) if source else null).alias("s"))
+    return _dealt(narrow).mapInArrow(run, ddl)

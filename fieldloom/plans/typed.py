@@ -151,11 +151,15 @@ def paths(x: Column, t: T.DataType | None, at: Column) -> Column:
 
 
 class Compiler:
-    def __init__(self, config: EvalConfig, source: Column | None, null_is_absent: bool):
-        self.config, self.source, self.null_is_absent = config, source, null_is_absent
+    def __init__(self, config: EvalConfig, source: Column | None, null_is_absent: bool, bare: bool = False):
+        """bare: without the node table, matches and warnings, and with sums over leaves only if a metric of the root asks for them."""
+        self.config, self.source, self.null_is_absent, self.bare = config, source, null_is_absent, bare
+        self.parts: dict[str, Part] = {}  # nodes outside arrays, by path
         self.rules = Builder(config)
         self.inside = 0
         self.stages: list[dict[str, Column]] = []
+        asked = [*self.rules.globals, *(getattr(config.top(), "metrics", None) or ()), config.key_metric, getattr(config.top(), "key_metric", None)]
+        self.sums = not bare or any((m if isinstance(m, str) else getattr(m, "name", "")) in ("overall_leaf_score", "coverage_leaf_score") for m in asked)
 
     def any_value(self, m: M.Metric, values: dict[str, Column]) -> Column:
         if type(m) is M.CompositeScore:
@@ -226,6 +230,11 @@ class Compiler:
             raise ValueError("optimal pairs have no expression; evaluate parsed documents instead")
         m = M.resolve(cfg.params.get("key_metric") or "exact_match")
         key = cfg.params.get("key")
+        if type(m) is M.ExactMatch and cfg.params.get("threshold", 1.0) == 1.0:
+            names = [] if key is None else [key] if isinstance(key, str) else list(key)
+            types = [(item(at), item(et))] if key is None else [(item(at)[k].dataType, item(et)[k].dataType) for k in names]
+            if all(x == y for x, y in types):
+                return then(arrays.pairs_by_equality(*(x if key is None else F.transform(x, lambda v: F.struct(*(v.getField(k).alias(f"k{n}") for n, k in enumerate(names)))) for x in (e, a))))
         if key is None:
             score = lambda x, y: scalar(m, x, y, item(at), item(et), None)
         else:
@@ -249,7 +258,7 @@ class Compiler:
         self.stages.append({names[k]: v.cast("double") for k, v in values.items()})
         return then({k: F.col(f"`{n}`") for k, n in names.items()})
 
-    def part(self, a: Column, e: Column, at, et, cfg: Any, path: Column, over: Column, key: str, depth: int, then: Callable[[Part], Any], in_a: Column | bool = True, in_e: Column | bool = True, root: bool = False) -> Any:
+    def part(self, a: Column, e: Column, at, et, cfg: Any, path: Column, over: Column, key: str, depth: int, then: Callable[[Part], Any], in_a: Column | bool = True, in_e: Column | bool = True, root: bool = False, where: str = "$") -> Any:
         """What ``then`` makes of the compiled node."""
         kind = _kind(et) or _kind(at) or M.SCALAR
         own = self.rules.metrics(cfg, kind, root)
@@ -278,6 +287,11 @@ class Compiler:
                 rep, known, own_leaves = values[key_metric.name], e.isNotNull(), leaves
                 if kind == M.SCALAR:
                     own_leaves = (F.lit(weight), weight * rep, known.cast("double"), (known & a.isNotNull()).cast("double"))
+                if self.bare:
+                    bare = Part(kind, key, values, rep, F.lit(None), weight, threshold, a, e, (at, et), in_a, in_e, own_leaves, F.lit(None), F.lit(None))
+                    if not self.inside:
+                        self.parts[where] = bare
+                    return then(bare)
                 shown = F.map_filter(F.create_map(*(x for k, v in values.items() for x in (F.lit(k), v))), lambda k, v: v.isNotNull())
                 node = F.struct(
                     path.alias("path"), over.alias("expected_path"), F.lit(kind).alias("kind"), F.lit(depth).alias("depth"), _text(a, at).alias("actual"), _text(e, et).alias("expected"), _true(in_a).alias("in_actual"), _true(in_e).alias("in_expected"),
@@ -293,10 +307,10 @@ class Compiler:
         if kind == M.SCALAR:
             return finish(lambda m, _: {m.name: self.root_value(m, a, e, at, et, None) if m.level == "root" else scalar(m, a, e, at, et, self.source)}, None, [], [], [])
         if kind == M.OBJECT:
-            return self._object(a, e, at, et, cfg, path, over, depth, root, finish)
+            return self._object(a, e, at, et, cfg, path, over, depth, root, finish, where)
         return self._array(a, e, at, et, cfg, path, over, key, depth, root, finish)
 
-    def _object(self, a, e, at, et, cfg, path, over, depth, root, finish) -> Any:
+    def _object(self, a, e, at, et, cfg, path, over, depth, root, finish, where) -> Any:
         sides = [(x, t) if isinstance(t, T.StructType) else (None, None) for x, t in ((a, at), (e, et))]
         names = sorted({f.name for _, t in sides if t is not None for f in t.fields})
 
@@ -307,7 +321,11 @@ class Compiler:
                 there = [False if vt is None else (v.isNotNull() if self.null_is_absent else x.isNotNull()) for (x, _), (v, vt) in zip(sides, got)]
                 down, across = (F.lit(k) if root else F.concat(p, F.lit("." + k)) for p in (path, over))
                 own = cfg.child(k) if isinstance(cfg, ObjectFieldConfig) else None
-                return self.part(got[0][0], got[1][0], got[0][1], got[1][1], own, down, across, k, depth + 1, lambda c: after([*children, c]), *there)
+                return self.part(got[0][0], got[1][0], got[0][1], got[1][1], own, down, across, k, depth + 1, lambda c: after([*children, c]), *there, where=k if root else f"{where}.{k}")
+            if self.bare:
+                there = [_true(c.in_actual) | _true(c.in_expected) for c in children] if self.sums else []
+                sums = tuple(_sum([F.when(x, c.leaves[i]).otherwise(0.0) for c, x in zip(children, there)]) for i in range(4))
+                return finish(lambda m, _: {m.name: self.root_value(m, a, e, at, et, sums)} if m.level == "root" else self.object_value(m, children, a, e, at, et), sums, [], [], [])
             below, matches, warned, leaves = [], [], [], []
             for c in children:
                 ia, ie = _true(c.in_actual), _true(c.in_expected)
@@ -333,7 +351,7 @@ class Compiler:
 
         def with_pairs(pairs: Column) -> Any:
             rest_e, rest_a = F.array_except(places(n_e), F.transform(pairs, lambda p: p["e"])), F.array_except(places(n_a), F.transform(pairs, lambda p: p["a"]))
-            matched = F.concat(F.transform(pairs, lambda p: match(p["e"], p["a"])), F.transform(rest_e, lambda i: match(i, null)), F.transform(rest_a, lambda j: match(null, j)))
+            matched = F.lit(None) if self.bare else F.concat(F.transform(pairs, lambda p: match(p["e"], p["a"])), F.transform(rest_e, lambda i: match(i, null)), F.transform(rest_a, lambda j: match(null, j)))
             if not (isinstance(at, T.ArrayType) and isinstance(et, T.ArrayType)):
                 zeros, none = (F.lit(0.0),) * 4, F.array().cast("array<double>")
                 return finish(lambda m, _: {m.name: self.root_value(m, a, e, at, et, zeros)} if m.level == "root" else self.array_value(m, a, e, at, et, none, n_a, n_e), zeros, [], [matched], [])
@@ -341,6 +359,9 @@ class Compiler:
 
             def item(p: Column) -> Column:
                 down, across = (F.concat(s, F.lit("["), i.cast("string"), F.lit("]")) for s, i in ((stem_a, p["a"]), (stem_e, p["e"])))
+                if self.bare:
+                    pack = lambda c: F.struct(c.rep.alias("rep"), *([F.struct(*(v.cast("double").alias(f"l{i}") for i, v in enumerate(c.leaves))).alias("leaves")] if self.sums else []))
+                    return self.part(F.get(a, p["a"]), F.get(e, p["e"]), at.elementType, et.elementType, own.item, down, across, key, depth + 1, pack)
                 pack = lambda c: F.struct(c.rep.alias("rep"), c.nodes.alias("nodes"), F.struct(*(v.cast("double").alias(f"l{i}") for i, v in enumerate(c.leaves))).alias("leaves"), c.matches.alias("matches"), c.warnings.alias("warnings"))
                 return self.part(F.get(a, p["a"]), F.get(e, p["e"]), at.elementType, et.elementType, own.item, down, across, key, depth + 1, pack)
 
@@ -349,8 +370,10 @@ class Compiler:
             self.inside -= 1
 
             def with_items(items: Column) -> Any:
-                leaves = tuple(_total(items, f"l{i}") for i in range(4))
+                leaves = tuple(_total(items, f"l{i}") for i in range(4)) if self.sums else (F.lit(0.0),) * 4
                 reps = F.transform(items, lambda x: x["rep"])
+                if self.bare:
+                    return finish(lambda m, _: {m.name: self.root_value(m, a, e, at, et, leaves)} if m.level == "root" else self.array_value(m, a, e, at, et, reps, n_a, n_e), leaves, [], [], [])
                 below = [F.flatten(F.transform(items, lambda x: x["nodes"]))]
                 return finish(lambda m, _: {m.name: self.root_value(m, a, e, at, et, leaves)} if m.level == "root" else self.array_value(m, a, e, at, et, reps, n_a, n_e), leaves, below, [matched, F.flatten(F.transform(items, lambda x: x["matches"]))], [F.flatten(F.transform(items, lambda x: x["warnings"]))])
 
@@ -373,15 +396,22 @@ class Compiler:
         raise ValueError(f"{m.name} has no expression; evaluate parsed documents instead")
 
 
-def compiled(df: DataFrame, config: EvalConfig | None = None, actual: str = "actual", expected: str | None = "expected", source: str | None = None, null_is_absent: bool = False) -> tuple[DataFrame, Part]:
-    """``df`` with the columns of the steps, and the root of the compiled tree over it."""
+def compiled(df: DataFrame, config: EvalConfig | None = None, actual: str = "actual", expected: str | None = "expected", source: str | None = None, null_is_absent: bool = False, at: str | None = None) -> tuple[DataFrame, Part]:
+    """``df`` with the columns of the steps, and the root of the compiled tree over it; with ``at`` the node of that path, without a node table."""
     config = config or EvalConfig()
-    compiler = Compiler(config, F.col(source) if source else None, null_is_absent)
+    compiler = Compiler(config, F.col(source) if source else None, null_is_absent, at is not None)
+    if at is not None and at != "$":
+        compiler.sums = False
+    where = at
     at, et = df.schema[actual].dataType, df.schema[expected].dataType if expected else None
     root = compiler.part(F.col(actual), F.col(expected) if expected else F.lit(None), at, et, config.top(), F.lit("$"), F.lit("$"), "", 0, lambda p: p, root=True)
     for columns in compiler.stages:
         df = df.withColumns(columns)
-    return df, root
+    if where is None:
+        return df, root
+    if where not in compiler.parts:
+        raise ValueError(f"there is no {where} outside arrays")
+    return df, compiler.parts[where]
 
 
 def evaluate(df: DataFrame, config: EvalConfig | None = None, actual: str = "actual", expected: str | None = "expected", source: str | None = None, sample_id: str | None = None, null_is_absent: bool = False) -> DataFrame:
@@ -396,7 +426,7 @@ def evaluate(df: DataFrame, config: EvalConfig | None = None, actual: str = "act
     )
 
 
-def scores(df: DataFrame, config: EvalConfig | None = None, keep: list[str] | None = None, **columns: Any) -> DataFrame:
-    """The root's metrics as columns, without the node table; only what they need is computed."""
-    staged, root = compiled(df, config, **columns)
+def scores(df: DataFrame, config: EvalConfig | None = None, keep: list[str] | None = None, at: str = "$", **columns: Any) -> DataFrame:
+    """The metrics of the root, or of the node at another path outside arrays, as columns, without the node table; only what they need is computed."""
+    staged, root = compiled(df, config, at=at, **columns)
     return staged.select(*(keep or []), *(v.alias(k) for k, v in root.values.items()), root.rep.alias("score"))

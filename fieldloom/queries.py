@@ -203,9 +203,8 @@ FROM i GROUP BY l_orderkey""")
 def lineitem_nested_by_key(spark, sf):
     """The compiled plan over nested arrays: items pair by part and score their quantity."""
     config = EvalConfig(fields={"items": ArrayFieldConfig(strategy="by_key", params={"key": "part"}, metrics=["array_accuracy", "array_cardinality"], key_metric="array_accuracy")}, metrics=["overall_leaf_score"])
-    reports = typed.evaluate(_nested(spark, sf), config, sample_id="l_orderkey")
-    found = R.nodes(reports).filter("path = 'items'")
-    return found.select(F.col("sample_id").cast("bigint").alias("l_orderkey"), *(F.round(F.col("metrics")[m], 6).alias(m) for m in ("array_accuracy", "array_cardinality")))
+    found = typed.scores(_nested(spark, sf), config, keep=["l_orderkey"], at="items")
+    return found.select("l_orderkey", *_round("array_accuracy", "array_cardinality"))
 
 
 @query(f"""WITH i AS ({_ITEMS}), pairs AS (SELECT l_orderkey, list(l_partkey ORDER BY l_partkey) AS e, coalesce(list(l_partkey ORDER BY l_partkey) FILTER (WHERE {_DROPPED}), []) AS a FROM i GROUP BY l_orderkey)
@@ -336,7 +335,7 @@ SELECT o_orderkey AS sample_id, round((a + 2 * b + c) / 4, 6) AS score FROM ({_C
 def orders_parsed_documents(spark, sf):
     """The tree plan on JSON texts."""
     text = lambda c: F.to_json(c, {"ignoreNullFields": "false"}).alias(c)
-    reports = tree.evaluate(order_pairs(spark, sf).select("o_orderkey", text("actual"), text("expected")), _PRF_CONFIG, sample_id="o_orderkey")
+    reports = tree.scores(order_pairs(spark, sf).select("o_orderkey", text("actual"), text("expected")), _PRF_CONFIG, sample_id="o_orderkey")
     return reports.select(F.col("sample_id").cast("bigint").alias("sample_id"), F.round("score", 6).alias("score"))
 
 

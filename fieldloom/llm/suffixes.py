@@ -215,15 +215,17 @@ def _keys(left: DataFrame, right: DataFrame):
 def ranges(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR) -> DataFrame:
     """(doc_id, text_hash, start, stop, first): see above; start and stop count words."""
     source = _sources(docs)
-    met = _occurrences(source, least, anchor)
-    place = [F.col("doc_id").isNull(), "doc_id", "text_hash", "start"]
-    same, alike = Window.partitionBy("anchor", "context"), Window.partitionBy("anchor")
-    met = met.repartition("anchor").withColumn("nth", F.dense_rank().over(same.orderBy(*place))).withColumn("copies", F.max("nth").over(same.orderBy(*place).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    met = met.withColumn("mixed", F.min("context").over(alike) != F.max("context").over(alike)).filter("mixed OR copies > 1")
-    met = met.withColumn("large", F.sum(F.when(F.col("nth") == 1, F.col("grams") + least - 1).otherwise(0)).over(alike) > SORTED_WORDS)
-    met = stored(met.drop("context"), "contexts")
-    plain = met.filter("NOT mixed OR nth > 1").select("doc_id", "text_hash", "start", "grams", (F.col("nth") == 1).alias("first"))
-    open_ = met.filter("mixed AND nth = 1").distinct()
+    every = stored(_occurrences(source, least, anchor), "occurrences")
+    place = [F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "start"]
+    # hot anchors and contexts are aggregated before they are shuffled, and the joins back may split a hot key's rows
+    kinds = every.groupBy("anchor", "context").agg(F.min(F.struct(*place)).alias("lead"), F.max(F.struct(*place)).alias("last"), F.max("grams").alias("size"))
+    alike = kinds.groupBy("anchor").agg((F.min("context") != F.max("context")).alias("mixed"), (F.sum(F.col("size").cast("bigint") + least - 1) > SORTED_WORDS).alias("large"))
+    kinds = kinds.join(alike, "anchor").withColumn("copies", F.when(F.col("lead") == F.col("last"), 1).otherwise(2)).filter("mixed OR copies > 1")
+    met = every.join(kinds.select("anchor", "context", "lead", "copies", "mixed", "large"), ["anchor", "context"])
+    leads = F.col("lead.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("lead.text_hash") == F.col("text_hash")) & (F.col("lead.start") == F.col("start"))
+    met = stored(met.select("doc_id", "text_hash", "start", "grams", "anchor", "copies", "mixed", "large", leads.alias("first")), "contexts")
+    plain = met.filter("NOT (mixed AND first)").select("doc_id", "text_hash", "start", "grams", "first")
+    open_ = met.filter("mixed AND first").distinct()
     wanted = open_.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "grams", "anchor", "copies", "large")).alias("wanted"))
     cut = source.join(wanted, _keys(source, wanted)).select(source["doc_id"], source["text_hash"], "text", "wanted")
 
@@ -253,7 +255,7 @@ def ranges(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR) -> DataFra
                 yield pa.RecordBatch.from_arrays([pa.array(code), batch.column(0).take(at), batch.column(1).take(at), pa.array(start.astype(np.int32)), pa.array(grams.astype(np.int32)), flat.field(3).take(pa.array(whole)), texts], names=["anchor", "doc_id", "text_hash", "start", "grams", "copies", "words"])
 
     sliced = cut.mapInArrow(slices, "anchor bigint, doc_id bigint, text_hash bigint, start int, grams int, copies int, words string")
-    sliced = sliced.repartition("anchor").sortWithinPartitions("anchor", *place)
+    sliced = sliced.repartition("anchor").sortWithinPartitions("anchor", F.col("doc_id").isNull(), "doc_id", "text_hash", "start")
 
     def resolve(t: pa.Table) -> pa.RecordBatch | None:
         """Runs of repeated grams in the contexts of whole anchors, sorted by anchor and place."""

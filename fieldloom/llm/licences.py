@@ -6,7 +6,7 @@ and a template match if 2|A & B| / (|A| + |B|) over their sets of word bigrams r
 ``THRESHOLD``.  A unit whose size is outside [t/(2-t), (2-t)/t] times the template's can't
 reach t, so such templates are never compared.
 
-Whatever the layout, runs of words that overlap no unit matched for the licence are compared as
+Whatever the layout, runs of words that overlap no unit matched for any licence are compared as
 well: from every word, those of all lengths up to (2-t)/t times the template's.  Of the best
 run from each word, those at the threshold are taken, the highest Dice first (then the
 earliest, then the shortest), if they overlap none taken before.
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -59,8 +60,7 @@ _GPL = (
     "Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT "
     "ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."
 )
-#: (licence, template text). A licence may have several templates.
-TEMPLATES: tuple[tuple[str, str], ...] = (
+_NOTICES: tuple[tuple[str, str], ...] = (
     ("MIT", _MIT),
     ("MIT", "Released under the MIT License."),
     ("MIT", "This project is licensed under the MIT License."),
@@ -80,6 +80,10 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
+#: Whole texts of the longer licences, a file each.
+_TEXTS = tuple((path.stem, path.read_text(encoding="utf-8")) for path in sorted((Path(__file__).parent / "licence_texts").glob("*.txt")))
+#: (licence, template text): notices, short licences and whole texts. A licence may have several templates.
+TEMPLATES: tuple[tuple[str, str], ...] = _NOTICES + _TEXTS
 _BREAKS = ~np.array([b < 128 and chr(b).isalnum() for b in range(256)])
 
 
@@ -151,7 +155,7 @@ def _best_runs(pairs: np.ndarray, held: np.ndarray, free: np.ndarray, size: int,
 
 
 def _runs(same: np.ndarray, doc: np.ndarray, pairs: np.ndarray, table, templates, threshold: float, found: dict) -> None:
-    """Adds to ``found`` the runs of words, in no range that it has for the licence, that match a template."""
+    """Adds to ``found`` the runs of words, in no range that it has, that match a template."""
     codes, bounds, flat, sizes = table
     at = np.minimum(np.searchsorted(codes, pairs), len(codes) - 1)
     hit = np.flatnonzero((codes[at] == pairs) & same)
@@ -159,21 +163,19 @@ def _runs(same: np.ndarray, doc: np.ndarray, pairs: np.ndarray, table, templates
     n = bounds[at + 1] - bounds[at]
     which = flat[np.repeat(bounds[at] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())]
     place = np.repeat(hit, n)
-    taken: dict[str, np.ndarray] = {}
-    for (_, licence), spans in found.items():
-        marks = taken.setdefault(licence, np.zeros(len(doc) + 1, np.int64))
+    marks = np.zeros(len(doc) + 1, np.int64)
+    for spans in found.values():
         for a, b in spans:
             marks[a] += 1
             marks[b + 1] -= 1
-    taken = {licence: np.cumsum(marks) > 0 for licence, marks in taken.items()}
+    taken = np.cumsum(marks) > 0
     runs: dict[tuple[int, str], list[tuple[float, int, int]]] = {}
     for t in np.unique(which).tolist():
         licence, b = templates[t][0], int(sizes[t])
         least = max(1, int(np.ceil(b * threshold / (2 - threshold) - 1e-9)))
         most = int((len(re.findall("[a-z0-9]+", templates[t][1].lower())) - 1) * (2 - threshold) / threshold + 1e-9)
         p = place[which == t]
-        if licence in taken:
-            p = p[~(taken[licence][p] | taken[licence][p + 1])]
+        p = p[~(taken[p] | taken[p + 1])]
         if len(p) < least:
             continue
         own = np.unique(pairs[p])
@@ -186,7 +188,7 @@ def _runs(same: np.ndarray, doc: np.ndarray, pairs: np.ndarray, table, templates
         high = np.minimum(first + most, np.searchsorted(doc, doc[first], "right") - 1)
         new = np.flatnonzero(np.r_[True, low[1:] > np.maximum.accumulate(high)[:-1]])
         for x, y in zip(low[new].tolist(), np.maximum.reduceat(high, new).tolist()):
-            free = np.ones(y - x, bool) if licence not in taken else ~(taken[licence][x:y] | taken[licence][x + 1 : y + 1])
+            free = ~(taken[x:y] | taken[x + 1 : y + 1])
             begin, length, dice = _best_runs(pairs[x:y], np.isin(pairs[x:y], own), free, b, least, most, threshold)
             runs.setdefault((int(doc[x]), licence), []).extend(zip((-dice).tolist(), (begin + x).tolist(), length.tolist()))
     for key, candidates in runs.items():

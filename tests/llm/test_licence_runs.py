@@ -7,7 +7,7 @@ import pytest
 from fieldloom.llm import licences
 from helpers import frame, prose
 
-MIT, GPL = licences.TEMPLATES[0][1], next(text for name, text in licences.TEMPLATES if name == "GPL-3.0")
+MIT, GPL = licences.TEMPLATES[0][1], next(text for name, text in licences.TEMPLATES if name == "GPL-3.0")  # the notice
 
 
 def _paragraphs(text, blank, mark=""):
@@ -43,3 +43,18 @@ def test_best_run_is_that_of_all_runs(seed):
     want = max(2 * len(a & b) / (len(a) + len(b)) for i in range(len(words)) for k in range(1, most + 1) if i + k < len(words) and (a := licences.bigrams(" ".join(words[i : i + k + 1]))))
     got = [f[2] for f in licences.find(pa.array([" ".join(words)]), (("L", " ".join(template)),))]
     assert got == ([pytest.approx(want)] if want >= licences.THRESHOLD else [])
+
+
+@pytest.mark.parametrize("name", ["Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0"])
+def test_whole_texts(spark, name):
+    text = dict(licences._TEXTS)[name]
+    rewrapped = " ".join(text.split())
+    rows = [(1, text), (2, rewrapped.upper()), (3, f"{prose(1, 40)}\n{text}\n{prose(2, 40)}"), (4, text[: len(text) // 3])]
+    found = {(r.doc_id, r.licence): r.dice for r in licences.scan(frame(spark, rows)).collect()}
+    assert found[1, name] == found[2, name] == 1.0 and found[3, name] >= 0.9
+    assert {lic for doc, lic in found if doc in (1, 2)} == {name} and (4, name) not in found
+
+
+def test_templates_that_tie_are_both_found():
+    twins = (("A", "one two three four five six"), ("B", "one two three four five six"))
+    assert [r[1:] for r in licences.find(pa.array([f"{prose(1, 30)}\none two three four five six\n{prose(2, 30)}"]), twins)] == [("A", 1.0, 1), ("B", 1.0, 1)]

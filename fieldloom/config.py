@@ -66,7 +66,11 @@ class ArrayFieldConfig:
     def __post_init__(self):
         if self.item is not None and not isinstance(self.item, (FieldConfig, ObjectFieldConfig)):
             raise TypeError("items of arrays are fields or objects")
-        allowed = {"by_index": (), "by_key": ("key", "key_metric", "threshold"), "hungarian": ("scorer", "threshold", "key")}[ArrayStrategy(self.strategy)]
+        from fieldloom.operators.assign import PARAMS
+
+        if str(self.strategy) not in PARAMS:
+            raise ValueError(f"no alignment is named {self.strategy!r}; there are {', '.join(sorted(PARAMS))}")
+        allowed = PARAMS[str(self.strategy)]
         if unknown := set(self.params) - set(allowed):
             raise TypeError(f"{self.strategy} takes no {', '.join(sorted(unknown))}")
         if self.params.get("key", ()) == []:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Any
 
 from fieldloom.api import evaluate
@@ -39,15 +40,17 @@ class StructuredMetric:
 
 
 class StructuredEvaluator:
-    """A callable on (run, example) whose outputs hold the documents."""
+    """A callable on (run, example) whose outputs hold the documents, or from which the given functions take them."""
 
-    def __init__(self, config: EvalConfig | None = None, output: str = "output", key: str = "structured"):
+    def __init__(self, config: EvalConfig | None = None, output: str = "output", key: str = "structured", extract_actual: Callable[[Any], Any] | None = None, extract_expected: Callable[[Any], Any] | None = None):
         self.config, self.output, self.key = config, output, key
+        self.extract_actual, self.extract_expected = extract_actual, extract_expected
 
     def __call__(self, run: Any, example: Any = None) -> dict:
         def document(x: Any) -> Any:
             held = getattr(x, "outputs", None) if x is not None else None
             return held.get(self.output, held) if isinstance(held, dict) else held
 
-        score, _, reason = verdict(evaluate(document(run), document(example), self.config))
+        actual, expected = (document(x) if own is None else own(x) for x, own in ((run, self.extract_actual), (example, self.extract_expected)))
+        score, _, reason = verdict(evaluate(actual, expected, self.config))
         return {"key": self.key, "score": score, "comment": reason}

@@ -95,6 +95,17 @@ def resolve(metric: str | Metric) -> Metric:
     return get_metric_class(metric)() if isinstance(metric, str) else metric
 
 
+def invoke(metric: str | Metric, actual: Any, expected: Any = None, source: str | None = None) -> dict[str, float]:
+    """The values of one metric for two documents, as at the root of their tree."""
+    from fieldloom.config import EvalConfig
+    from fieldloom.plans.tree import Builder
+
+    own = resolve(metric)
+    builder = Builder(EvalConfig(default_scalar_metrics=[own]) if own.fits(SCALAR, False) and not isinstance(actual if expected is None else expected, (dict, list)) else EvalConfig(metrics=[own]))
+    root, _ = builder.evaluate(actual, expected, source)
+    return {k: v for k, v in root.values.items() if k != MeanScore.name or own.name == k}
+
+
 # ---- scalars
 
 

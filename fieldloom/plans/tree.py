@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from fieldloom import metrics as M
 from fieldloom.config import ArrayFieldConfig, EvalConfig, ExtraKeysPolicy, ObjectFieldConfig
-from fieldloom.operators.assign import by_index, by_key, hungarian
+from fieldloom.operators.assign import ALIGNERS
 from fieldloom.sources.documents import ParseError, parse
 
 NODE = (
@@ -155,7 +155,7 @@ class Builder:
         elif kind == M.ARRAY:
             left, right = (x if isinstance(x, list) else [] for x in (a, e))
             cfg = cfg if isinstance(cfg, ArrayFieldConfig) else ArrayFieldConfig()
-            align = {"by_index": by_index, "by_key": by_key, "hungarian": hungarian}[str(cfg.strategy)]
+            align = ALIGNERS[str(cfg.strategy)]
             pairs = align(right, left, **cfg.params)
             n.missed = sorted(set(range(len(right))) - {i for i, _ in pairs})
             n.spurious = sorted(set(range(len(left))) - {j for _, j in pairs})

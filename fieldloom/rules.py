@@ -52,6 +52,19 @@ def find(document: Any, path: list[str | int]) -> list[Any]:
     return found
 
 
+MISSING = object()
+
+
+def navigate(document: Any, path: str) -> Any:
+    """The value at a path such as ``a.b[0]``, ``$.a`` or ``[-1].b``, ``MISSING`` if there is none; ``$`` and nothing stand for the document."""
+    path = path.strip()
+    full = path if path.startswith("$") else f"${path}" if path.startswith("[") else f"$.{path}" if path else "$"
+    if "*" in full:
+        raise ValueError(f"{path!r} may stand for several values")
+    found = find(document, steps(full))
+    return found[0] if found else MISSING
+
+
 class _Absent(Exception):
     pass
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from typing import Any
+from urllib.parse import unquote
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,16 +20,57 @@ _TYPES = {
 }
 
 
+_WORDS = frozenset(
+    "type enum const minimum maximum exclusiveMinimum exclusiveMaximum multipleOf minLength maxLength pattern minItems maxItems uniqueItems items additionalItems contains required minProperties maxProperties "
+    "properties patternProperties additionalProperties propertyNames dependencies allOf anyOf oneOf not if then else $ref $id $schema $comment definitions $defs title description default examples format readOnly writeOnly "
+    "contentMediaType contentEncoding".split()
+)
+
+
 def _same(a: Any, b: Any) -> bool:
     return a == b and isinstance(a, bool) == isinstance(b, bool)
 
 
-def errors(x: Any, schema: Any, at: tuple = ()) -> list[tuple[str, tuple, str]]:
-    """(keyword, place, name) of each violation."""
+def referred(root: Any, ref: str) -> Any:
+    """What ``#``, ``#/a/b`` or ``#name`` stands for within a schema."""
+    if not ref.startswith("#"):
+        raise ValueError(f"{ref} is outside the schema")
+    if ref == "#":
+        return root
+    if not ref.startswith("#/"):
+        stack = [root]
+        while stack:
+            x = stack.pop()
+            if isinstance(x, dict):
+                if x.get("$id") == ref:
+                    return x
+                stack += x.values()
+            elif isinstance(x, list):
+                stack += x
+        raise ValueError(f"the schema has no {ref}")
+    x = root
+    for part in ref[2:].split("/"):
+        part = unquote(part).replace("~1", "/").replace("~0", "~")
+        try:
+            x = x[int(part)] if isinstance(x, list) else x[part]
+        except (KeyError, IndexError, ValueError, TypeError):
+            raise ValueError(f"the schema has no {ref}") from None
+    return x
+
+
+def errors(x: Any, schema: Any, at: tuple = (), root: Any = None, seen: tuple = ()) -> list[tuple[str, tuple, str]]:
+    """(keyword, place, name) of each violation. As draft 7 has it, words beside a ``$ref`` don't count, nor do formats; a word that the draft doesn't know is an error."""
+    root = schema if root is None else root
     if schema is True or schema == {}:
         return []
     if schema is False:
         return [("false", at, "")]
+    if "$ref" in schema:
+        if schema["$ref"] in seen:
+            raise ValueError(f"{schema['$ref']} refers to itself")
+        return errors(x, referred(root, schema["$ref"]), at, root, (*seen, schema["$ref"]))
+    if unknown := set(schema) - _WORDS:
+        raise ValueError(f"draft 7 has no {', '.join(sorted(unknown))}")
     found: list[tuple[str, tuple, str]] = []
     bad = lambda word, name="": found.append((word, at, name))
     if "type" in schema:
@@ -60,8 +102,8 @@ def errors(x: Any, schema: Any, at: tuple = ()) -> list[tuple[str, tuple, str]]:
         items = schema.get("items", True)
         for i, v in enumerate(x):
             own = items if not isinstance(items, list) else items[i] if i < len(items) else schema.get("additionalItems", True)
-            found += errors(v, own, (*at, i))
-        if "contains" in schema and not any(not errors(v, schema["contains"]) for v in x):
+            found += errors(v, own, (*at, i), root)
+        if "contains" in schema and not any(not errors(v, schema["contains"], (), root) for v in x):
             bad("contains")
     if isinstance(x, dict):
         known, patterns = schema.get("properties", {}), schema.get("patternProperties", {})
@@ -76,8 +118,8 @@ def errors(x: Any, schema: Any, at: tuple = ()) -> list[tuple[str, tuple, str]]:
             own = [known[name]] if name in known else []
             own += [s for p, s in patterns.items() if re.search(p, name)]
             for s in own:
-                found += errors(v, s, (*at, name))
-            if "propertyNames" in schema and errors(name, schema["propertyNames"]):
+                found += errors(v, s, (*at, name), root)
+            if "propertyNames" in schema and errors(name, schema["propertyNames"], (), root):
                 bad("propertyNames")
         rest = [k for k in x if k not in known and not any(re.search(p, k) for p in patterns)]
         more = schema.get("additionalProperties", True)
@@ -85,21 +127,21 @@ def errors(x: Any, schema: Any, at: tuple = ()) -> list[tuple[str, tuple, str]]:
             bad("additionalProperties", ", ".join(sorted(rest)))
         elif isinstance(more, dict):
             for k in rest:
-                found += errors(x[k], more, (*at, k))
+                found += errors(x[k], more, (*at, k), root)
         for name, needs in schema.get("dependencies", {}).items():
-            if name in x and (any(n not in x for n in needs) if isinstance(needs, list) else errors(x, needs)):
+            if name in x and (any(n not in x for n in needs) if isinstance(needs, list) else errors(x, needs, (), root, seen)):
                 bad("dependencies")
     for s in schema.get("allOf", ()):
-        found += errors(x, s, at)
-    if "anyOf" in schema and all(errors(x, s) for s in schema["anyOf"]):
+        found += errors(x, s, at, root, seen)
+    if "anyOf" in schema and all(errors(x, s, (), root, seen) for s in schema["anyOf"]):
         bad("anyOf")
-    if "oneOf" in schema and sum(not errors(x, s) for s in schema["oneOf"]) != 1:
+    if "oneOf" in schema and sum(not errors(x, s, (), root, seen) for s in schema["oneOf"]) != 1:
         bad("oneOf")
-    if "not" in schema and not errors(x, schema["not"]):
+    if "not" in schema and not errors(x, schema["not"], (), root, seen):
         bad("not")
     if "if" in schema:
-        branch = "else" if errors(x, schema["if"]) else "then"
-        found += errors(x, schema.get(branch, True), at)
+        branch = "else" if errors(x, schema["if"], (), root, seen) else "then"
+        found += errors(x, schema.get(branch, True), at, root, seen)
     return found
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from fieldloom import metrics as M
 from fieldloom.config import ArrayFieldConfig, EvalConfig, ExtraKeysPolicy, ObjectFieldConfig
-from fieldloom.operators.assign import ALIGNERS
+from fieldloom.operators.assign import ALIGNERS, by_index
 from fieldloom.sources.documents import ParseError, parse
 
 NODE = (
@@ -249,7 +249,13 @@ def _evaluated(df: DataFrame, config: EvalConfig | None, actual: str, expected:
 
     table = ddl == SCHEMA
 
+    # what was declared on the driver goes along, so that its names mean the same there
+    own = {k: v for k, v in M.REGISTRY.items() if v.__module__ != M.__name__}
+    aligners = {k: v for k, v in ALIGNERS.items() if v.__module__ != by_index.__module__}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        M.REGISTRY.update(own)
+        ALIGNERS.update(aligners)
         builder = Builder(config)
         for batch in batches:
             for at in range(0, len(batch), 1000):

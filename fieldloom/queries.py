@@ -345,3 +345,6 @@ def events_windowed_scores(spark, sf):
     """What the streaming query gives, on the whole table."""
     score = rules.pass_rate(_RULES[:1], F.struct("value"))
     return windowed_scores(_table(spark, sf, "events").withColumn("score", score), "ts", "score").select(F.col("start"), "n", F.round("score", 6).alias("score"))
+
+
+from fieldloom import detail_queries  # noqa: E402,F401 (it registers its queries here)

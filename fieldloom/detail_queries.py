@@ -195,6 +195,13 @@ def lineitem_place_prf1(spark, sf):
     return _tree_items(_quantities(spark, sf), _items_config(["array_prf1"]), "array_precision", "array_recall", "array_f1")
 
 
+@query(f"SELECT l_orderkey, round(2.0 * same / (a + e), 6) AS array_f1 FROM ({_KEPT})")
+def lineitem_optimal_compiled(spark, sf):
+    """Optimal pairs in the compiled plan: only the pairing goes through Python, in Arrow batches."""
+    config = _items_config(["array_f1"], strategy="hungarian", params={"threshold": 0.9})
+    return typed.scores(_named(spark, sf, "rank"), config, keep=["l_orderkey"], at="items").select("l_orderkey", *_round("array_f1"))
+
+
 # ---- metrics
 
 

@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,7 +27,7 @@ from fieldloom import rules, schemas
 from fieldloom.config import ArrayFieldConfig, EvalConfig, ObjectFieldConfig
 from fieldloom.functions.compare import absent_rule
 from fieldloom.functions.numbers import scored
-from fieldloom.operators import arrays
+from fieldloom.operators import arrays, assign
 from fieldloom.plans.tree import NODE, Builder
 
 _NODES = f"array<struct<{', '.join(f'{n}: {t}' for n, t in (x.split(' ', 1) for x in NODE.split(', ')))}>>"
@@ -127,12 +128,24 @@ def scalar(m: M.Metric, a: Column, e: Column, at, et, source: Column | None) ->
     if type(m) is M.FieldFaithfulness:
         return S.field_faithfulness(a, F.lit(None).cast("string") if source is None else source)
 
-    @F.udf("double")
-    def custom(x, y):
-        got = m.score(x, y)
-        return None if got is None else float(got)
+    @F.arrow_udf("double")
+    def custom(x: pa.Array, y: pa.Array) -> pa.Array:
+        found = [m.score(u, v) for u, v in zip(x.to_pylist(), y.to_pylist())]
+        return pa.array([None if s is None else float(s) for s in found], pa.float64())
 
-    return custom(a, e)
+    return custom(*(F.lit(None).cast("string") if t is None else x for x, t in ((a, at), (e, et))))
+
+
+def aligned(strategy: str, params: dict, e: Column, a: Column) -> Column:
+    """Pairs that no expression gives, from Arrow batches of both arrays."""
+    align = assign.ALIGNERS[strategy]
+    kind = pa.list_(pa.struct([("e", pa.int32()), ("a", pa.int32())]))
+
+    @F.arrow_udf(arrays.PAIRS)
+    def pairs(x: pa.Array, y: pa.Array) -> pa.Array:
+        return pa.array([[{"e": i, "a": j} for i, j in align(u or [], v or [], **params)] for u, v in zip(x.to_pylist(), y.to_pylist())], kind)
+
+    return pairs(e, a)
 
 
 def paths(x: Column, t: T.DataType | None, at: Column) -> Column:
@@ -226,8 +239,10 @@ class Compiler:
             return then(F.array().cast(arrays.PAIRS))
         if cfg.strategy == "by_index":
             return then(arrays.pairs_by_index(e, a))
-        if cfg.strategy == "hungarian":
-            raise ValueError("optimal pairs have no expression; evaluate parsed documents instead")
+        if cfg.strategy != "by_key":
+            if self.inside:
+                raise ValueError(f"{cfg.strategy} pairs of arrays in arrays have no expression; evaluate parsed documents instead")
+            return then(aligned(str(cfg.strategy), dict(cfg.params), e, a))
         m = M.resolve(cfg.params.get("key_metric") or "exact_match")
         key = cfg.params.get("key")
         if type(m) is M.ExactMatch and cfg.params.get("threshold", 1.0) == 1.0:

@@ -104,3 +104,26 @@ def test_scores_are_those_of_the_reports(spark):
     df = spark.createDataFrame([("1", '{"a": 1, "b": 2}', '{"a": 1, "b": 3}'), ("2", "{", "{}")], "id string, actual string, expected string")
     a, b = (x.orderBy("sample_id").collect() for x in (tree.scores(df, sample_id="id"), tree.evaluate(df, sample_id="id")))
     assert [(r.score, r.parse_error) for r in a] == [(r.score, r.parse_error) for r in b] == [(0.5, False), (None, True)] and a[0].metrics["object_accuracy"] == 0.5
+
+
+def test_both_plans_pair_alike(spark):
+    from fieldloom.plans import typed
+
+    rows = [([3.0, 1.0, 2.0], [1.0, 2.05, 9.0]), ([], [1.0]), ([5.0], []), ([1.0, 1.0], [1.0, 1.0, 1.0]), (None, [1.0])]
+    df = spark.createDataFrame([(str(k), a, e) for k, (a, e) in enumerate(rows)], "id string, a array<double>, e array<double>").selectExpr("id", "struct(a AS xs) AS actual", "struct(e AS xs) AS expected")
+    for strategy, params in (("hungarian", {"threshold": 0.5}), ("by_key", {}), ("by_key", {"key_metric": "numeric_closeness", "threshold": 0.9}), ("by_index", {})):
+        config = f.EvalConfig(fields={"xs": f.ArrayFieldConfig(strategy=strategy, params=params, metrics=["array_accuracy"], item=f.FieldConfig(metrics=["numeric_closeness"]))})
+        one, other = (plan.evaluate(df, config, sample_id="id").selectExpr("sample_id", "score", "sort_array(matches) AS m").orderBy("sample_id").collect() for plan in (typed, tree))
+        assert [(r.sample_id, pytest.approx(r.score), r.m) for r in one] == [(r.sample_id, r.score, r.m) for r in other], strategy
+
+
+def test_a_metric_without_an_expression_in_the_compiled_plan(spark):
+    from fieldloom.plans import typed
+
+    class Halves(metrics.FieldMetric):
+        def score(self, actual, expected):
+            return None if actual is None else 0.5
+
+    df = spark.createDataFrame([(1, "x"), (None, "y")], "a int, e string").selectExpr("struct(a AS v) AS actual", "struct(e AS v) AS expected")
+    config = f.EvalConfig(fields={"v": f.FieldConfig(metrics=[Halves(name="halves")])})
+    assert sorted(r.halves or -1 for r in typed.scores(df, config, at="v").collect()) == [-1, 0.5]

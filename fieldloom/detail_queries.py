@@ -361,7 +361,7 @@ def orders_own_metrics(spark, sf):
   SELECT o_orderkey, 'numeric', b, b, b, NULL FROM ({_CHILDREN}) UNION ALL
   SELECT o_orderkey, 'object_accuracy', {_SCORE}, {_SCORE}, {_SCORE}, {_SCORE} FROM ({_CHILDREN}))""")
 def orders_metric_collections(spark, sf):
-    found = R.collections(_order_reports(spark, sf)).filter("metric <> 'mean_score'")
+    found = R.collections(_order_reports(spark, sf, detailed=True)).filter("metric <> 'mean_score'")
     return found.select(_id(), "metric", F.round("mean", 6).alias("mean"), F.round("min", 6).alias("least"), F.round("max", 6).alias("most"), F.round("root", 6).alias("root"), F.round("representative", 6).alias("representative"))
 
 
@@ -387,7 +387,7 @@ def orders_batch_metrics(spark, sf):
 @query(f"SELECT o_custkey, count(*) AS runs, round(avg((a + 2 * b + c) / 4), 6) AS mean_score, round(var_pop((a + 2 * b + c) / 4), 6) AS score_variance FROM ({_CHILDREN}) GROUP BY o_custkey")
 def customer_run_scores(spark, sf):
     config = EvalConfig(metrics=["object_accuracy"], fields={"price": FieldConfig(metrics=["numeric"], weight=2.0)}, key_metric="object_accuracy")
-    found = R.consistency(typed.evaluate(order_pairs(spark, sf), config, sample_id="o_custkey"), "sample_id")
+    found = R.consistency(typed.evaluate(order_pairs(spark, sf), config, sample_id="o_custkey", detailed=False), "sample_id")
     return found.select(F.col("sample_id").cast("bigint").alias("o_custkey"), "runs", *_round("mean_score", "score_variance"))
 
 
@@ -401,7 +401,7 @@ def orders_verdicts(spark, sf):
 @query("SELECT * FROM (VALUES ('field', FALSE), ('metric', FALSE), ('parse', TRUE), ('parse broken', FALSE), ('score', TRUE), ('score 1', FALSE)) AS v(assertion, holds)")
 def orders_assertions(spark, sf):
     """Assertions on reports raise or do nothing."""
-    reports, broken = _order_reports(spark, sf), tree.evaluate(_broken(spark, sf), _PRF_CONFIG, sample_id="o_orderkey")
+    reports, broken = _order_reports(spark, sf, detailed=True), tree.evaluate(_broken(spark, sf), _PRF_CONFIG, sample_id="o_orderkey")
 
     def holds(check, *args) -> bool:
         try:
@@ -419,7 +419,7 @@ def orders_assertions(spark, sf):
 
 @query(f"SELECT metric, round(avg(d), 6) AS delta FROM (SELECT unnest(['numeric', 'object_accuracy']) AS metric, unnest([CASE WHEN o_orderkey % 7 = 0 THEN 1.0 ELSE 0 END, CASE WHEN o_orderkey % 7 = 0 THEN 0.5 ELSE 0 END]) AS d FROM ({_CHILDREN})) GROUP BY metric")
 def orders_metric_deltas(spark, sf):
-    found = R.diff_metrics(_order_reports(spark, sf, 0.05), _order_reports(spark, sf), ["numeric", "object_accuracy"])
+    found = R.diff_metrics(_order_reports(spark, sf, 0.05, True), _order_reports(spark, sf, detailed=True), ["numeric", "object_accuracy"])
     return found.groupBy("metric").agg(F.round(F.avg("delta"), 6).alias("delta"))
 
 

@@ -217,11 +217,13 @@ def ranges(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR) -> DataFra
     source = _sources(docs)
     every = stored(_occurrences(source, least, anchor), "occurrences")
     place = [F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "start"]
-    # hot anchors and contexts are aggregated before they are shuffled, and the joins back may split a hot key's rows
-    kinds = every.groupBy("anchor", "context").agg(F.min(F.struct(*place)).alias("lead"), F.max(F.struct(*place)).alias("last"), F.max("grams").alias("size"))
-    alike = kinds.groupBy("anchor").agg((F.min("context") != F.max("context")).alias("mixed"), (F.sum(F.col("size").cast("bigint") + least - 1) > SORTED_WORDS).alias("large"))
-    kinds = kinds.join(alike, "anchor").withColumn("copies", F.when(F.col("lead") == F.col("last"), 1).otherwise(2)).filter("mixed OR copies > 1")
-    met = every.join(kinds.select("anchor", "context", "lead", "copies", "mixed", "large"), ["anchor", "context"])
+    # hot anchors and contexts are aggregated before they are shuffled, and the joins back, each written, may split a hot key's rows
+    spot = F.xxhash64(*place)
+    alike = every.groupBy("anchor").agg((F.min("context") != F.max("context")).alias("mixed"), (F.min(spot) != F.max(spot)).alias("again"), (F.sum(F.col("grams").cast("bigint") + least - 1) > SORTED_WORDS).alias("large"))
+    every = stored(every.join(alike.filter("again"), "anchor").drop("again"), "anchors")
+    kinds = every.groupBy("anchor", "context").agg(F.min(F.struct(*place)).alias("lead"), F.max(F.struct(*place)).alias("last"))
+    kinds = kinds.select("anchor", "context", "lead", F.when(F.col("lead") == F.col("last"), 1).otherwise(2).alias("copies"))
+    met = every.join(kinds, ["anchor", "context"]).filter("mixed OR copies > 1")
     leads = F.col("lead.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("lead.text_hash") == F.col("text_hash")) & (F.col("lead.start") == F.col("start"))
     met = stored(met.select("doc_id", "text_hash", "start", "grams", "anchor", "copies", "mixed", "large", leads.alias("first")), "contexts")
     plain = met.filter("NOT (mixed AND first)").select("doc_id", "text_hash", "start", "grams", "first")

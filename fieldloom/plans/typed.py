@@ -168,6 +168,7 @@ class Compiler:
         """bare: without the node table, matches and warnings, and with sums over leaves only if a metric of the root asks for them."""
         self.config, self.source, self.null_is_absent, self.bare = config, source, null_is_absent, bare
         self.parts: dict[str, Part] = {}  # nodes outside arrays, by path
+        self.detailed = True  # whether nodes show documents and metrics
         self.rules = Builder(config)
         self.inside = 0
         self.stages: list[dict[str, Column]] = []
@@ -307,9 +308,9 @@ class Compiler:
                     if not self.inside:
                         self.parts[where] = bare
                     return then(bare)
-                shown = F.map_filter(F.create_map(*(x for k, v in values.items() for x in (F.lit(k), v))), lambda k, v: v.isNotNull())
+                shown = F.create_map().cast("map<string,double>") if not self.detailed else F.map_filter(F.create_map(*(x for k, v in values.items() for x in (F.lit(k), v))), lambda k, v: v.isNotNull())
                 node = F.struct(
-                    path.alias("path"), over.alias("expected_path"), F.lit(kind).alias("kind"), F.lit(depth).alias("depth"), _text(a, at).alias("actual"), _text(e, et).alias("expected"), _true(in_a).alias("in_actual"), _true(in_e).alias("in_expected"),
+                    path.alias("path"), over.alias("expected_path"), F.lit(kind).alias("kind"), F.lit(depth).alias("depth"), (_text(a, at) if self.detailed else F.lit(None).cast("string")).alias("actual"), (_text(e, et) if self.detailed else F.lit(None).cast("string")).alias("expected"), _true(in_a).alias("in_actual"), _true(in_e).alias("in_expected"),
                     shown.alias("metrics"), F.create_map().cast("map<string,string>").alias("extras"), rep.alias("score"), F.lit(threshold).alias("threshold"), F.lit(weight).alias("weight"),
                 )
                 nodes = F.concat(F.array(node), *below) if below else F.array(node)
@@ -411,10 +412,11 @@ class Compiler:
         raise ValueError(f"{m.name} has no expression; evaluate parsed documents instead")
 
 
-def compiled(df: DataFrame, config: EvalConfig | None = None, actual: str = "actual", expected: str | None = "expected", source: str | None = None, null_is_absent: bool = False, at: str | None = None) -> tuple[DataFrame, Part]:
+def compiled(df: DataFrame, config: EvalConfig | None = None, actual: str = "actual", expected: str | None = "expected", source: str | None = None, null_is_absent: bool = False, at: str | None = None, detailed: bool = True) -> tuple[DataFrame, Part]:
     """``df`` with the columns of the steps, and the root of the compiled tree over it; with ``at`` the node of that path, without a node table."""
     config = config or EvalConfig()
     compiler = Compiler(config, F.col(source) if source else None, null_is_absent, at is not None)
+    compiler.detailed = detailed
     if at is not None and at != "$":
         compiler.sums = False
     where = at
@@ -429,9 +431,9 @@ def compiled(df: DataFrame, config: EvalConfig | None = None, actual: str = "act
     return df, compiler.parts[where]
 
 
-def evaluate(df: DataFrame, config: EvalConfig | None = None, actual: str = "actual", expected: str | None = "expected", source: str | None = None, sample_id: str | None = None, null_is_absent: bool = False) -> DataFrame:
-    """Report rows as of ``plans.tree.evaluate``, for nested columns."""
-    staged, root = compiled(df, config, actual, expected, source, null_is_absent)
+def evaluate(df: DataFrame, config: EvalConfig | None = None, actual: str = "actual", expected: str | None = "expected", source: str | None = None, sample_id: str | None = None, null_is_absent: bool = False, detailed: bool = True) -> DataFrame:
+    """Report rows as of ``plans.tree.evaluate``, for nested columns. Without ``detailed`` nodes have scores, but neither texts of documents nor metrics."""
+    staged, root = compiled(df, config, actual, expected, source, null_is_absent, detailed=detailed)
     name = (F.col(sample_id) if sample_id else F.lit(None)).cast("string")
     builder, top = Builder(config or EvalConfig()), (config or EvalConfig()).top()
     label = builder.key_of(top, root.kind, True, builder.metrics(top, root.kind, True)).name

@@ -78,7 +78,8 @@ def consistency_fields(reports: DataFrame, group: str | None = None, variance_th
 
 def consistency(reports: DataFrame, group: str | None = None) -> DataFrame:
     """For each group of runs (or all): mean and variance of the root scores."""
-    return reports.filter("NOT parse_error").groupBy(*([group] if group else [])).agg(F.count("score").alias("runs"), F.avg("score").alias("mean_score"), F.var_pop("score").alias("score_variance"))
+    # covar_pop takes the steps of DuckDB's var_pop and ends with the same bits where rows come in the same order; Spark's var_pop takes others
+    return reports.filter("NOT parse_error").groupBy(*([group] if group else [])).agg(F.count("score").alias("runs"), F.avg("score").alias("mean_score"), F.covar_pop("score", "score").alias("score_variance"))
 
 
 def diff_metrics(reports: DataFrame, other: DataFrame, metrics: list[str] | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ for a word.  Only ASCII white space separates words; a null text counts as empty
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -24,6 +25,7 @@ PUNCT = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _powers: list[np.ndarray] = []
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -38,6 +40,13 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def release() -> None:
+    """Gives back to the system what Arrow and malloc keep of freed memory, that of a worker's earlier tasks too."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: each output bit depends on every input bit."""
     x = x ^ (x >> np.uint64(30))

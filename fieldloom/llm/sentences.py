@@ -37,9 +37,9 @@ from fieldloom.llm._store import column
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 THREADS = 2
 #: Bytes of text encoded at once: as units, and as whole texts.
-CHUNK_BYTES, BATCH_BYTES = 4 << 20, 256 << 10
-#: Distinct units that a worker remembers; beyond these it starts afresh.
-REMEMBERED = 1 << 20
+CHUNK_BYTES, BATCH_BYTES = 1 << 20, 256 << 10
+#: Distinct units that a worker remembers, beyond which it starts afresh, and that it encodes at once.
+REMEMBERED, UNITS = 1 << 20, 4096
 MARKER = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
@@ -244,15 +244,21 @@ class _Units:
         ids = [x if len(u) > 1 else [t.id for t in alone] for u, x in zip(units, ids)]
         return ids, [own.decode(x) == u[1:] for u, x in zip(units, ids)]
 
-    def add(self, codes: np.ndarray, units: list[str]) -> None:
-        ids, back = self.encode(units)
-        size = np.array([len(x) for x in ids], np.int64)
+    def add(self, codes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Encodes ``UNITS`` at a time: what the library returns for a unit is many times its size."""
+        sizes, flats, backs = [], [self.flat], []
+        for at in range(0, len(codes), UNITS):
+            ids, back = self.encode([data[a:b].tobytes().decode() for a, b in zip(starts[at : at + UNITS].tolist(), ends[at : at + UNITS].tolist())])
+            sizes.append(np.array([len(x) for x in ids], np.int64))
+            flats.append(np.fromiter((i for x in ids for i in x), np.int32, sizes[-1].sum()))
+            backs.append(np.array(back, bool))
+        size, back = np.concatenate(sizes), np.concatenate(backs)
         begin = len(self.flat) + np.cumsum(size) - size
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.int32, size.sum())])
+        self.flat = np.concatenate(flats)
         joined = np.concatenate([self.codes, codes])
         order = np.argsort(joined, kind="stable")
         self.codes = joined[order]
-        for name, new in (("begin", begin), ("size", size), ("back", np.array(back, bool))):
+        for name, new in (("begin", begin), ("size", size), ("back", back)):
             setattr(self, name, np.concatenate([getattr(self, name), new])[order])
 
     def texts(self, part: pa.Array):
@@ -281,7 +287,7 @@ class _Units:
             if len(self.codes) + len(new) > REMEMBERED:
                 self.clear()
                 new = np.arange(len(distinct))
-            self.add(distinct[new], [data[a:b].tobytes().decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
+            self.add(distinct[new], data, starts[first[new]], ends[first[new]])
         at = at[inverse]
         size = self.size[at]
         flat = self.flat[np.repeat(self.begin[at] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
@@ -334,6 +340,7 @@ def encode_strings(texts: pa.Array, model: str, parity: bool) -> Iterator[tuple[
         return size, flat, same_ids(other, part, size, flat) if parity else np.ones(len(size), bool), back
 
     for a, b, part in _text.string_chunks(texts, CHUNK_BYTES if units else BATCH_BYTES):
+        _text.release()
         if units is None or pc.any(pc.match_substring(part, MARKER)).as_py():
             for c, d, small in _text.string_chunks(part, BATCH_BYTES):
                 plain = units is not None and not pc.any(pc.match_substring(small, MARKER)).as_py()

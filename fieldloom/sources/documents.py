@@ -21,7 +21,16 @@ class Parser(Protocol):
     def parse(self, text: str) -> Any: ...
 
 
+_scan = json.JSONDecoder().scan_once
+
+
 def from_json(text: str) -> Any:
+    try:
+        found, end = _scan(text, 0)
+        if end == len(text):
+            return found
+    except (StopIteration, ValueError, RecursionError):
+        pass  # what surrounds a document, and what is wrong with it, is for the whole decoder
     try:
         return json.loads(text)
     except ValueError as why:

@@ -52,3 +52,56 @@ def test_joins_are_those_of_the_loop(spark):
     for g in range(15):
         want = by_key(*([k for gg, _, k in s if gg == g] for s in sides))
         assert sorted(got.get(g, [])) == want
+
+
+def _all_pairs(expected, actual, scorer=None, key=None):
+    """One pair at a time."""
+    from fieldloom.operators import assign as A
+
+    if key is None:
+        return [[A._score(scorer, e, a) for a in actual] for e in expected]
+    scorers = scorer if isinstance(scorer, dict) else dict.fromkeys(key, scorer)
+    part = lambda x: {k: A.value_at(x, k) for k in key}
+    return [[A._fields(part(e), part(a), scorers) for a in actual] for e in expected]
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_tables_of_scores_are_those_of_the_pairs(seed):
+    from fieldloom import metrics as M
+    from fieldloom.operators.assign import similarities
+
+    r = random.Random(seed)
+    value = lambda: r.choice([None, True, 1, 2.5, float("nan"), 0, -3, "a", " A  b", "a B", "7", [1], {"x": 1}])
+    item = lambda: r.choice([value(), {"n": value(), "m": value()}, {"n": value()}]) if seed % 3 else {"n": value(), "m": value(), "o": r.random()}
+    number = lambda: r.choice([0, 1.5, 2, 1e300, float("inf")])
+    make = number if seed % 5 == 0 else item
+    e, a = ([make() for _ in range(r.randrange(1, 5))] for _ in range(2))
+    own = {"n": "regex_match", "m": M.NumericCloseness()}
+    for scorer, key in ((None, None), ("regex_match", None), (M.Numeric(tolerance=1, mode="absolute"), None), (own, None), (own, ["n", "m"]), (None, ["n"]), (lambda x, y: float(x is y), None)):
+        assert np.array_equal(similarities(e, a, scorer, key), np.array(_all_pairs(e, a, scorer, key), float), equal_nan=True), (scorer, key)
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_small_and_large_tables_are_assigned_alike(seed, monkeypatch):
+    from fieldloom.operators import assign as A
+
+    r = np.random.default_rng(seed)
+    c = r.random((int(r.integers(1, 9)), int(r.integers(1, 9)))) if seed % 2 else r.integers(0, 3, (int(r.integers(1, 9)), int(r.integers(1, 9)))) / 2
+    small = assignment(c)
+    monkeypatch.setattr(A, "_SMALL_CELLS", 0)
+    assert small == assignment(c)
+
+
+def test_what_depends_on_one_item_is_done_once_for_it():
+    from fieldloom import metrics as M
+
+    class Counted(M.RegexMatch):
+        calls = 0
+
+        def plain(self, x):
+            Counted.calls += 1
+            return super().plain(x)
+
+    texts = [f"t {k}" for k in range(20)]
+    assert hungarian(texts, texts[::-1], scorer=Counted(name="counted")) == [(k, 19 - k) for k in range(20)]
+    assert Counted.calls == 40

@@ -18,7 +18,7 @@ from fieldloom.functions.numbers import parse_number
 from fieldloom.operators import diff
 from fieldloom.operators import reports as R
 from fieldloom.plans import tree, typed
-from fieldloom.queries import _CHILDREN, _DROPPED, _ITEMS, _PAIRS, _PRF_CONFIG, _PRF_SQL, _items, _keyed, _nested, _order_reports, _round, _sides, _table, order_pairs, query
+from fieldloom.queries import _CHILDREN, _DROPPED, _ITEMS, _PAIRS, _PRF_CONFIG, _PRF_SQL, _both, _changed, _keyed, _nested, _order_reports, _round, _table, order_pairs, query, tree_items
 from fieldloom.sources.documents import json_of, samples_from_text
 
 _SCORE = "round((a + 2 * b + c) / 4, 6)"
@@ -108,18 +108,10 @@ def events_json_lines(spark, sf):
 
 def _named(spark, sf, name):
     """Items with a named key that differs in case only, and a rank that differs by a little."""
-    items = _items(spark, sf)
-    key = lambda side: F.concat(F.lit("Part "), F.col("l_partkey").cast("string")) if side == "expected" else F.upper(F.concat(F.lit("part "), F.col("l_partkey").cast("string")))
-    rank = lambda side: F.col("place") * 1000.0 + (0 if side == "expected" else F.col("l_partkey") % 4)
-    sides = []
-    for side in ("expected", "actual"):
-        rows = items if side == "expected" else items.filter(_DROPPED)
-        item = {"struct": F.struct(key(side).alias("name"), rank(side).alias("rank")), "rank": rank(side), "name": key(side)}[name]
-        order = "place" if side == "expected" else F.col("place") * -1
-        held = F.transform(F.array_sort(F.collect_list(F.struct((F.col(order) if isinstance(order, str) else order).alias("at"), item.alias("item")))), lambda x: x["item"])
-        sides.append(rows.groupBy("l_orderkey").agg(F.struct(held.alias("items")).alias(side)))
-    both = sides[0].join(sides[1], "l_orderkey", "left")
-    return both.withColumn("actual", F.coalesce("actual", F.struct(F.array().cast(both.schema["expected"].dataType["items"].dataType).alias("items"))))
+    expected_name, expected_rank = lambda p: F.concat(F.lit("Part "), p.cast("string")), lambda p, place: place * 1000.0
+    actual_name, actual_rank = lambda p: F.upper(F.concat(F.lit("part "), p.cast("string"))), lambda p, place: place * 1000.0 + p % 4
+    made = {"struct": lambda n, r: F.struct(n.alias("name"), r.alias("rank")), "rank": lambda n, r: r, "name": lambda n, r: n}[name]
+    return _both(spark, sf, lambda p, _, place: made(expected_name(p), expected_rank(p, place)), lambda p, _, place: made(actual_name(p), actual_rank(p, place)))
 
 
 _KEPT = f"SELECT l_orderkey, count(*) AS e, count(*) FILTER (WHERE {_DROPPED}) AS a, count(*) FILTER (WHERE {_DROPPED} AND l_partkey % 4 = 0) AS same FROM ({_ITEMS}) GROUP BY l_orderkey"
@@ -143,22 +135,17 @@ def lineitem_folded_key(spark, sf):
     return typed.scores(_named(spark, sf, "name"), config, keep=["l_orderkey"], at="items").select("l_orderkey", *_round("array_precision", "array_recall"))
 
 
-def _tree_items(df, config, *names):
-    found = R.nodes(tree.evaluate(df, config, sample_id="l_orderkey")).filter("path = 'items'")
-    return found.select(F.col("sample_id").cast("bigint").alias("l_orderkey"), *(F.round(F.col("metrics")[m], 6).alias(m) for m in names))
-
-
 @query(f"SELECT l_orderkey, round(2.0 * same / (a + e), 6) AS array_f1 FROM ({_KEPT})")
 def lineitem_hungarian_places(spark, sf):
     """Optimal pairs by the usual score of numbers: each rank is near its own and far from the others."""
-    return _tree_items(_named(spark, sf, "rank"), _items_config(["array_f1"], strategy="hungarian", params={"threshold": 0.9}), "array_f1")
+    return tree_items(_named(spark, sf, "rank"), _items_config(["array_f1"], strategy="hungarian", params={"threshold": 0.9}), "array_f1")
 
 
 @query(f"SELECT l_orderkey, round(2.0 * same / (a + e), 6) AS array_f1 FROM ({_KEPT})")
 def lineitem_hungarian_fields(spark, sf):
     """Optimal pairs by a scorer for each field: one named, one a metric, and a key of two parts."""
     config = _items_config(["array_f1"], strategy="hungarian", params={"threshold": 0.9, "key": ["name", "rank"], "scorer": {"name": "regex_match", "rank": M.NumericCloseness()}}, item=ObjectFieldConfig(fields={"name": FieldConfig(metrics=["regex_match"])}))
-    return _tree_items(_named(spark, sf, "struct"), config, "array_f1")
+    return tree_items(_named(spark, sf, "struct"), config, "array_f1")
 
 
 @query(f"SELECT l_orderkey, round(2.0 * a / (a + e), 6) AS array_f1 FROM ({_KEPT})")
@@ -168,7 +155,7 @@ def lineitem_hungarian_callable(spark, sf):
     def close(actual, expected):
         return 1.0 if abs(actual - expected) < 10 else 0.0
 
-    return _tree_items(_named(spark, sf, "rank"), _items_config(["array_f1"], strategy="hungarian", params={"scorer": close}, item=FieldConfig(metrics=[M.Numeric(tolerance=10, mode="absolute")])), "array_f1")
+    return tree_items(_named(spark, sf, "rank"), _items_config(["array_f1"], strategy="hungarian", params={"scorer": close}, item=FieldConfig(metrics=[M.Numeric(tolerance=10, mode="absolute")])), "array_f1")
 
 
 _BY_PLACE = f"""WITH i AS ({_ITEMS}), a AS (SELECT l_orderkey, CASE WHEN l_partkey % 4 = 0 THEN quantity + 1 ELSE quantity END AS quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY place DESC) AS nth FROM i WHERE {_DROPPED}),
@@ -176,11 +163,7 @@ j AS (SELECT i.l_orderkey, CASE WHEN a.quantity = i.quantity THEN 1 ELSE 0 END A
 
 
 def _quantities(spark, sf):
-    sides = []
-    for name, df in zip(("expected", "actual"), _sides(spark, sf)):
-        held = F.transform(F.array_sort(F.collect_list(F.struct("place", "quantity"))), lambda x: x["quantity"])
-        sides.append(df.groupBy("l_orderkey").agg(F.struct(held.alias("items")).alias(name)))
-    return sides[0].join(sides[1], "l_orderkey", "left").withColumn("actual", F.coalesce("actual", F.struct(F.array().cast("array<double>").alias("items"))))
+    return _both(spark, sf, lambda _, quantity, place: quantity, lambda part, quantity, place: _changed(part, quantity))
 
 
 @query(f"{_BY_PLACE} SELECT l_orderkey, precision AS array_precision, recall AS array_recall, f1 AS array_f1 FROM ({_PRF_SQL})")
@@ -192,7 +175,7 @@ def lineitem_place_metrics(spark, sf):
 @query(f"{_BY_PLACE} SELECT l_orderkey, precision AS array_precision, recall AS array_recall, f1 AS array_f1 FROM ({_PRF_SQL})")
 def lineitem_place_prf1(spark, sf):
     """The three at once, in the tree plan."""
-    return _tree_items(_quantities(spark, sf), _items_config(["array_prf1"]), "array_precision", "array_recall", "array_f1")
+    return tree_items(_quantities(spark, sf), _items_config(["array_prf1"]), "array_precision", "array_recall", "array_f1")
 
 
 @query(f"SELECT l_orderkey, round(2.0 * same / (a + e), 6) AS array_f1 FROM ({_KEPT})")

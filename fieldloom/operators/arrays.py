@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PAIRS = "array<struct<e:int,a:int>>"
+PART_BYTES = 8 << 20
+_UNKNOWN_BYTES = 1 << 50  # Spark's estimate of a table that it knows nothing of is beyond that
 
 
 def _count(x: Column) -> Column:
@@ -39,6 +41,21 @@ def pairs_by_equality(expected: Column, actual: Column) -> Column:
     return F.when((_count(expected) > 0) & (_count(actual) > 0), F.filter(found, lambda p: p["a"] >= 0)).otherwise(F.array().cast(PAIRS))
 
 
+def by_group(df: DataFrame, group: list[str]) -> DataFrame:
+    """The rows of a group in one part. There are as many parts as cores, or as many more as keep a part at ``PART_BYTES`` of what the plan reads: what goes by the group afterwards shuffles no more, and its tasks don't grow with the table."""
+    return df.repartition(parts(df), *group)
+
+
+def parts(*tables: DataFrame) -> int:
+    spark = tables[0].sparkSession
+    size = 0
+    for df in tables:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        size += sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    cores = spark.sparkContext.defaultParallelism
+    return max(cores, int(spark.conf.get("spark.sql.shuffle.partitions"))) if size > _UNKNOWN_BYTES else max(cores, -(-size // PART_BYTES))
+
+
 def align_by_index(expected: DataFrame, actual: DataFrame, group: list[str], place: str) -> DataFrame:
     """Items of two tables in the n-th place of a group side by side, a null side where one has no such item."""
     return _joined(_placed(expected, group, place), _placed(actual, group, place), [*group, "nth"])

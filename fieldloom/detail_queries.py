@@ -92,7 +92,7 @@ def orders_navigated(spark, sf):
 
 @query("""SELECT v.place, v.path, v.kind, v.depth, count(*) AS n FROM orders, (VALUES (0, '$', 'object', 0), (1, 'price', 'scalar', 1), (2, 'priority', 'scalar', 1), (3, 'status', 'scalar', 1)) AS v(place, path, kind, depth) GROUP BY ALL""")
 def orders_tree_walk(spark, sf):
-    return R.nodes(tree.evaluate(_texts(spark, sf), _PRF_CONFIG, sample_id="o_orderkey")).groupBy("place", "path", "kind", "depth").agg(F.count(F.lit(1)).alias("n"))
+    return R.nodes(tree.evaluate(_texts(spark, sf), _PRF_CONFIG, sample_id="o_orderkey", node_fields=["path", "kind", "depth"])).groupBy("place", "path", "kind", "depth").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT user_id, n, total, n AS last FROM (SELECT user_id, count(*) AS n, CAST(sum(CAST(regexp_extract(props, '[0-9]+') AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY user_id)")
@@ -231,6 +231,7 @@ def orders_structural_similarity(spark, sf):
     return found.select(_id(), F.round(F.col("metrics")["structural_similarity"], 6).alias("structural_similarity"))
 
 
+_PAYLOADS = ("path", "metrics", "extras")
 _SCHEMA = {
     "definitions": {"text": {"type": "string"}}, "type": "object", "required": ["status", "price"], "additionalProperties": False, "properties": {"status": {"$ref": "#/definitions/text"}, "price": {"type": "number", "minimum": 0}, "priority": {"$ref": "#/definitions/text"}}
 }
@@ -239,9 +240,9 @@ _SCHEMA = {
 @query("""SELECT v.kind, v.item, count(*) AS n FROM orders JOIN (VALUES ('type_errors', 'price', 7), ('type_errors', 'priority', 11)) AS v(kind, item, every) ON o_orderkey % v.every = 0 GROUP BY v.kind, v.item""")
 def orders_schema_errors(spark, sf):
     """The lists of what is wrong with documents, and their items."""
-    reports = tree.evaluate(_checked(spark, sf), EvalConfig(metrics=[M.SchemaValidity(_SCHEMA)]), sample_id="o_orderkey")
-    lists = [R.extras(reports, "schema_validity", f"schema_errors.{kind}").select(F.lit(kind).alias("kind"), "item") for kind in ("type_errors", "missing_required", "extra_fields")]
-    return lists[0].unionByName(lists[1]).unionByName(lists[2]).groupBy("kind", "item").agg(F.count(F.lit(1)).alias("n"))
+    reports = tree.evaluate(_checked(spark, sf), EvalConfig(metrics=[M.SchemaValidity(_SCHEMA)]), sample_id="o_orderkey", node_fields=_PAYLOADS)
+    found = R.extras(reports, "schema_validity", [f"schema_errors.{kind}" for kind in ("type_errors", "missing_required", "extra_fields")])
+    return found.groupBy(F.substring_index("key", ".", -1).alias("kind"), "item").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""SELECT kind, name, count(*) AS n FROM (
@@ -274,7 +275,7 @@ def orders_rule_results(spark, sf):
         return document["price"] > 0
 
     config = EvalConfig(metrics=[M.RulePassRate([rules.Rule("$.price").gt(1000), rules.Rule.custom(priced)])])
-    reports = tree.evaluate(_texts(spark, sf, True), config, sample_id="o_orderkey")
+    reports = tree.evaluate(_texts(spark, sf, True), config, sample_id="o_orderkey", node_fields=_PAYLOADS)
     found = R.extras(reports, "rule_pass_rate", "rule_results").select(F.from_json("item", "name string, passed boolean").alias("r"))
     return found.groupBy("r.name", "r.passed").agg(F.count(F.lit(1)).alias("n"))
 
@@ -327,7 +328,7 @@ def _own_metrics() -> EvalConfig:
 def orders_own_metrics(spark, sf):
     """Metrics of fields, objects, the root, any node and several kinds, with sub-scores, extras, no value and names of their own."""
     df = order_pairs(spark, sf).select("o_orderkey", json_of(F.col("actual")).alias("actual"), json_of(F.col("expected").withField("status", F.col("actual.status"))).alias("expected"))
-    reports = tree.evaluate(df, _own_metrics(), sample_id="o_orderkey")
+    reports = tree.evaluate(df, _own_metrics(), sample_id="o_orderkey", node_fields=[*_PAYLOADS, "score"])
     node = lambda path: F.get(F.filter("nodes", lambda n: n["path"] == path), F.lit(0))
     root, status, priority = node("$"), node("status"), node("priority")
     return reports.select(
@@ -356,14 +357,14 @@ def _broken(spark, sf):
 @query(f"""SELECT count(*) AS samples, round(avg(CASE WHEN o_orderkey % 17 <> 0 THEN (a + 2 * b + c) / 4 END), 6) AS score, round(avg(CASE WHEN o_orderkey % 17 <> 0 AND a + b + c = 3 THEN 1.0 ELSE 0.0 END), 6) AS perfect_response_rate,
   round(avg(CASE WHEN o_orderkey % 17 = 0 THEN 1.0 ELSE 0.0 END), 6) AS parse_error_rate FROM ({_CHILDREN})""")
 def orders_batch_with_errors(spark, sf):
-    return R.batch(tree.evaluate(_broken(spark, sf), _PRF_CONFIG, sample_id="o_orderkey")).select("samples", *_round("score", "perfect_response_rate", "parse_error_rate"))
+    return R.batch(tree.evaluate(_broken(spark, sf), _PRF_CONFIG, sample_id="o_orderkey", node_fields=R.BATCH_FIELDS)).select("samples", *_round("score", "perfect_response_rate", "parse_error_rate"))
 
 
 @query(f"""SELECT unnest(['exact_match', 'numeric', 'object_accuracy']) AS metric, unnest([round(x, 6), round(y, 6), round(z, 6)]) AS value FROM (
   SELECT avg((a + c) / 2) AS x, avg(b) AS y, avg((a + 2 * b + c) / 4) AS z FROM ({_CHILDREN}) WHERE o_orderkey % 17 <> 0)""")
 def orders_batch_metrics(spark, sf):
     config = EvalConfig(metrics=["object_accuracy"], fields={"price": FieldConfig(metrics=["numeric"], weight=2.0)}, key_metric="object_accuracy")
-    found = R.batch_metrics(tree.evaluate(_broken(spark, sf), config, sample_id="o_orderkey"))
+    found = R.batch_metrics(tree.evaluate(_broken(spark, sf), config, sample_id="o_orderkey", node_fields=_PAYLOADS))
     return found.filter(F.col("metric").isin("exact_match", "numeric", "object_accuracy")).select("metric", F.round("value", 6).alias("value"))
 
 
@@ -377,7 +378,7 @@ def customer_run_scores(spark, sf):
 @query(f"""SELECT o_orderkey, o_orderkey % 17 <> 0 AND a + b + c = 3 AS success, CASE WHEN o_orderkey % 17 = 0 THEN 'parse error' WHEN a + b + c = 3 THEN 'all fields pass' ELSE 'failed: ' || concat_ws(', ', '$=' || printf('%.2f', (a + 2 * b + c) / 4),
   CASE WHEN b < 1 THEN 'price=0.00' END, CASE WHEN c < 1 THEN 'priority=0.00' END, CASE WHEN a < 1 THEN 'status=0.00' END) END AS reason FROM ({_CHILDREN})""")
 def orders_verdicts(spark, sf):
-    found = R.verdicts(tree.evaluate(_broken(spark, sf), _PRF_CONFIG, sample_id="o_orderkey"))
+    found = R.verdicts(tree.evaluate(_broken(spark, sf), _PRF_CONFIG, sample_id="o_orderkey", node_fields=["path", "score", "threshold"]))
     return found.select(_id(), "success", F.regexp_replace("reason", "^parse error.*", "parse error").alias("reason"))
 
 

@@ -17,17 +17,19 @@ def strip(x: Column) -> Column:
     return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
 
 
-def regex_match(a: Column, e: Column, pattern: str = r"\s+", repl: str = " ", lower: bool = True, strip_ends: bool = True) -> Column:
-    """1 if the texts agree once the pattern is replaced. Groups of ``repl`` are written as in Python."""
+def plain(x: Column, pattern: str = r"\s+", repl: str = " ", lower: bool = True, strip_ends: bool = True) -> Column:
+    """The text once the pattern is replaced. Groups of ``repl`` are written as in Python."""
     java = re.sub(r"\\(\d)", r"$\1", repl.replace("$", r"\$"))
+    x = F.lower(x) if lower else x
+    x = strip(x) if strip_ends else x
+    x = F.regexp_replace(x, F.lit("(?U)" + pattern), F.lit(java))
+    return strip(x) if strip_ends else x
 
-    def plain(x: Column) -> Column:
-        x = F.lower(x) if lower else x
-        x = strip(x) if strip_ends else x
-        x = F.regexp_replace(x, F.lit("(?U)" + pattern), F.lit(java))
-        return strip(x) if strip_ends else x
 
-    return absent_rule(a, e, flag(plain(a) == plain(e)))
+def regex_match(a: Column, e: Column, pattern: str = r"\s+", repl: str = " ", lower: bool = True, strip_ends: bool = True) -> Column:
+    """1 if the texts agree once the pattern is replaced: see ``plain``."""
+    form = lambda x: plain(x, pattern, repl, lower, strip_ends)
+    return absent_rule(a, e, flag(form(a) == form(e)))
 
 
 def _overlap_f1(a: Column, e: Column) -> Column:

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: The fields of nodes that ``batch`` reads.
+BATCH_FIELDS = ("score", "threshold")
+
+
 def nodes(reports: DataFrame) -> DataFrame:
     """One row for each node, in the order of the tree."""
     # outer, since Spark would else compute the array a second time to filter out empty ones
@@ -23,12 +29,17 @@ def collections(reports: DataFrame) -> DataFrame:
     return values(reports).groupBy("sample_id", "metric").agg(F.avg("value").alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"), at_root.alias("root"), F.coalesce(at_root, F.avg("value")).alias("representative"))
 
 
-def extras(reports: DataFrame, metric: str, key: str | None = None) -> DataFrame:
-    """The extra payloads of a metric; with a key, one row for each item of the list there."""
-    found = values(reports).filter((F.col("metric") == metric) & F.col("extra").isNotNull()).select("sample_id", "path", "extra")
+def extras(reports: DataFrame, metric: str, key: str | Sequence[str] | None = None) -> DataFrame:
+    """The extra payloads of a metric; with a key, one row for each item of the list there; with several, each item's key too."""
+    own = F.filter("nodes", lambda n: F.map_contains_key(n["metrics"], F.lit(metric)) & F.try_element_at(n["extras"], F.lit(metric)).isNotNull())
+    found = reports.select("sample_id", F.explode_outer(own).alias("node")).filter("node IS NOT NULL").select("sample_id", "node.path", F.element_at("node.extras", F.lit(metric)).alias("extra"))
     if key is None:
         return found
-    return found.select("sample_id", "path", F.explode(F.from_json(F.get_json_object("extra", f"$.{key}"), "array<string>")).alias("item"))
+    keys = [key] if isinstance(key, str) else list(key)
+    none = F.array().cast("array<struct<key: string, item: string>>")
+    items = lambda k: F.transform(F.from_json(F.get_json_object("extra", f"$.{k}"), "array<string>"), lambda x: F.struct(F.lit(k).alias("key"), x.alias("item")))
+    every = found.select("sample_id", "path", F.explode_outer(F.concat(none, *(F.coalesce(items(k), none) for k in keys))).alias("x")).filter("x IS NOT NULL")
+    return every.select("sample_id", "path", *([] if isinstance(key, str) else ["x.key"]), "x.item")
 
 
 def _bar(threshold: float | None) -> Column:
@@ -41,11 +52,15 @@ def failed_fields(reports: DataFrame, threshold: float | None = None) -> DataFra
 
 
 def warnings(reports: DataFrame) -> DataFrame:
-    return reports.select("sample_id", F.explode("warnings").alias("w")).select("sample_id", "w.kind", "w.path")
+    return _listed(reports, "warnings").select("sample_id", "x.kind", "x.path")
 
 
 def matches(reports: DataFrame) -> DataFrame:
-    return reports.select("sample_id", F.explode("matches").alias("m")).select("sample_id", "m.*")
+    return _listed(reports, "matches").select("sample_id", "x.*")
+
+
+def _listed(reports: DataFrame, name: str) -> DataFrame:
+    return reports.select("sample_id", F.explode_outer(name).alias("x")).filter("x IS NOT NULL")  # outer as in nodes
 
 
 def batch(reports: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
+from itertools import chain
 from typing import Any
 
 import pyarrow as pa
@@ -28,6 +29,7 @@ from fieldloom.config import ArrayFieldConfig, EvalConfig, ObjectFieldConfig
 from fieldloom.functions.compare import absent_rule
 from fieldloom.functions.numbers import scored
 from fieldloom.operators import arrays, assign
+from fieldloom.plans._arrow import structs, values
 from fieldloom.plans.tree import NODE, Builder
 
 _NODES = f"array<struct<{', '.join(f'{n}: {t}' for n, t in (x.split(' ', 1) for x in NODE.split(', ')))}>>"
@@ -52,8 +54,8 @@ class Part:
     in_actual: Column | bool
     in_expected: Column | bool
     leaves: tuple[Column, Column, Column, Column]  # weight, weight * score, expected, expected and there
-    matches: Column
-    warnings: Column
+    matches: Column | None  # none where there can't be any
+    warnings: Column | None
 
 
 def _kind(t: T.DataType | None) -> str | None:
@@ -130,7 +132,7 @@ def scalar(m: M.Metric, a: Column, e: Column, at, et, source: Column | None) ->
 
     @F.arrow_udf("double")
     def custom(x: pa.Array, y: pa.Array) -> pa.Array:
-        found = [m.score(u, v) for u, v in zip(x.to_pylist(), y.to_pylist())]
+        found = [m.score(u, v) for u, v in zip(values(x), values(y))]
         return pa.array([None if s is None else float(s) for s in found], pa.float64())
 
     return custom(*(F.lit(None).cast("string") if t is None else x for x, t in ((a, at), (e, et))))
@@ -143,7 +145,8 @@ def aligned(strategy: str, params: dict, e: Column, a: Column) -> Column:
 
     @F.arrow_udf(arrays.PAIRS)
     def pairs(x: pa.Array, y: pa.Array) -> pa.Array:
-        return pa.array([[{"e": i, "a": j} for i, j in align(u or [], v or [], **params)] for u, v in zip(x.to_pylist(), y.to_pylist())], kind)
+        found = [align(u or [], v or [], **params) for u, v in zip(values(x), values(y))]
+        return structs([len(p) for p in found], list(zip(*chain.from_iterable(found))) or [(), ()], kind)
 
     return pairs(e, a)
 
@@ -251,6 +254,8 @@ class Compiler:
             types = [(item(at), item(et))] if key is None else [(item(at)[k].dataType, item(et)[k].dataType) for k in names]
             if all(x == y for x, y in types):
                 return then(arrays.pairs_by_equality(*(x if key is None else F.transform(x, lambda v: F.struct(*(v.getField(k).alias(f"k{n}") for n, k in enumerate(names)))) for x in (e, a))))
+        if key is None and type(m) is M.RegexMatch and 0 < cfg.params.get("threshold", 1.0) <= 1 and isinstance(item(at), T.StringType) and isinstance(item(et), T.StringType):
+            return then(arrays.pairs_by_equality(*(F.transform(x, lambda v: S.plain(v, m.pattern, m.repl, m.lower, m.strip)) for x in (e, a))))
         if key is None:
             score = lambda x, y: scalar(m, x, y, item(at), item(et), None)
         else:
@@ -314,7 +319,7 @@ class Compiler:
                     shown.alias("metrics"), F.create_map().cast("map<string,string>").alias("extras"), rep.alias("score"), F.lit(threshold).alias("threshold"), F.lit(weight).alias("weight"),
                 )
                 nodes = F.concat(F.array(node), *below) if below else F.array(node)
-                return then(Part(kind, key, values, rep, nodes, weight, threshold, a, e, (at, et), in_a, in_e, own_leaves, F.concat(*matches) if matches else F.array().cast(_MATCHES), F.concat(*warned) if warned else F.array().cast(_WARNINGS)))
+                return then(Part(kind, key, values, rep, nodes, weight, threshold, a, e, (at, et), in_a, in_e, own_leaves, F.concat(*matches) if matches else None, F.concat(*warned) if warned else None))
 
             if not values:
                 return with_values({}, first)
@@ -348,11 +353,12 @@ class Compiler:
                 exists = ia | ie
                 below.append(F.when(exists, c.nodes).otherwise(F.array().cast(_NODES)))
                 leaves.append(tuple(F.when(exists, v).otherwise(0.0) for v in c.leaves))
-                matches.append(c.matches)
+                matches += [] if c.matches is None else [c.matches]
+                warned += [] if c.warnings is None else [c.warnings]
                 kinds = F.when(~ia & ie, "missing_field")
                 kinds = kinds if self.config.extra_keys == "penalize" else kinds.when(ia & ~ie, "extra_key")
                 at_path = F.lit(c.key) if root else F.concat(path, F.lit("." + c.key))
-                warned += [c.warnings, F.when(kinds.isNotNull(), F.array(F.struct(kinds.alias("kind"), at_path.alias("path")))).otherwise(F.array().cast(_WARNINGS))]
+                warned.append(F.when(kinds.isNotNull(), F.array(F.struct(kinds.alias("kind"), at_path.alias("path")))).otherwise(F.array().cast(_WARNINGS)))
             sums = tuple(_sum([v[i] for v in leaves]) for i in range(4))
             return finish(lambda m, _: {m.name: self.root_value(m, a, e, at, et, sums)} if m.level == "root" else self.object_value(m, children, a, e, at, et), sums, below, matches, warned)
 
@@ -378,9 +384,15 @@ class Compiler:
                 if self.bare:
                     pack = lambda c: F.struct(c.rep.alias("rep"), *([F.struct(*(v.cast("double").alias(f"l{i}") for i, v in enumerate(c.leaves))).alias("leaves")] if self.sums else []))
                     return self.part(F.get(a, p["a"]), F.get(e, p["e"]), at.elementType, et.elementType, own.item, down, across, key, depth + 1, pack)
-                pack = lambda c: F.struct(c.rep.alias("rep"), c.nodes.alias("nodes"), F.struct(*(v.cast("double").alias(f"l{i}") for i, v in enumerate(c.leaves))).alias("leaves"), c.matches.alias("matches"), c.warnings.alias("warnings"))
+
+                def pack(c: Part) -> Column:
+                    lists = {"matches": c.matches, "warnings": c.warnings}
+                    held.extend(k for k, v in lists.items() if v is not None)
+                    return F.struct(c.rep.alias("rep"), c.nodes.alias("nodes"), F.struct(*(v.cast("double").alias(f"l{i}") for i, v in enumerate(c.leaves))).alias("leaves"), *(v.alias(k) for k, v in lists.items() if v is not None))
+
                 return self.part(F.get(a, p["a"]), F.get(e, p["e"]), at.elementType, et.elementType, own.item, down, across, key, depth + 1, pack)
 
+            held: list[str] = []  # what items have besides their scores: what they can't have is not gathered, so the array's own pairs need no item
             self.inside += 1
             scored_items = F.transform(pairs, item)
             self.inside -= 1
@@ -391,7 +403,8 @@ class Compiler:
                 if self.bare:
                     return finish(lambda m, _: {m.name: self.root_value(m, a, e, at, et, leaves)} if m.level == "root" else self.array_value(m, a, e, at, et, reps, n_a, n_e), leaves, [], [], [])
                 below = [F.flatten(F.transform(items, lambda x: x["nodes"]))]
-                return finish(lambda m, _: {m.name: self.root_value(m, a, e, at, et, leaves)} if m.level == "root" else self.array_value(m, a, e, at, et, reps, n_a, n_e), leaves, below, [matched, F.flatten(F.transform(items, lambda x: x["matches"]))], [F.flatten(F.transform(items, lambda x: x["warnings"]))])
+                gathered = lambda k: [F.flatten(F.transform(items, lambda x: x[k]))] if k in held else []
+                return finish(lambda m, _: {m.name: self.root_value(m, a, e, at, et, leaves)} if m.level == "root" else self.array_value(m, a, e, at, et, reps, n_a, n_e), leaves, below, [matched, *gathered("matches")], gathered("warnings"))
 
             return self.bind(scored_items, with_items)
 
@@ -439,7 +452,7 @@ def evaluate(df: DataFrame, config: EvalConfig | None = None, actual: str = "act
     label = builder.key_of(top, root.kind, True, builder.metrics(top, root.kind, True)).name
     return staged.select(
         name.alias("sample_id"), F.lit(False).alias("parse_error"), F.lit(None).cast("string").alias("parse_error_message"), root.rep.alias("score"), F.lit(label).alias("score_label"),
-        root.nodes.alias("nodes"), root.matches.alias("matches"), root.warnings.alias("warnings"),
+        root.nodes.alias("nodes"), *(F.array().cast(t).alias(k) if x is None else x.alias(k) for k, x, t in (("matches", root.matches, _MATCHES), ("warnings", root.warnings, _WARNINGS))),
     )
 
 

@@ -7,8 +7,10 @@ expression over a struct's fields, false where a path is absent or types don't c
 from __future__ import annotations
 
 import ast
+import operator
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from functools import lru_cache
 from typing import Any
 
 from pyspark.sql import Column
@@ -20,6 +22,9 @@ _INSIDE = re.compile(r"\$((?:\.[A-Za-z_]\w*)+)")
 OPERATORS = {"eq": "=", "lt": "<", "gt": ">", "lte": "<=", "gte": ">=", "in": "in"}
 
 
+_TESTS: dict[str, Callable[[Any, Any], Any]] = {"eq": operator.eq, "lt": operator.lt, "gt": operator.gt, "lte": operator.le, "gte": operator.ge, "in": lambda left, right: left in right}
+
+
 def steps(path: str) -> list[str | int]:
     """The keys and places of a path; '*' for any place."""
     if not path.startswith("$"):
@@ -36,7 +41,12 @@ def steps(path: str) -> list[str | int]:
     return out
 
 
-def find(document: Any, path: list[str | int]) -> list[Any]:
+@lru_cache(maxsize=4096)
+def _steps(path: str) -> tuple[str | int, ...]:
+    return tuple(steps(path))
+
+
+def find(document: Any, path: Sequence[str | int]) -> list[Any]:
     """All matches."""
     found = [document]
     for step in path:
@@ -61,7 +71,7 @@ def navigate(document: Any, path: str) -> Any:
     full = path if path.startswith("$") else f"${path}" if path.startswith("[") else f"$.{path}" if path else "$"
     if "*" in full:
         raise ValueError(f"{path!r} may stand for several values")
-    found = find(document, steps(full))
+    found = find(document, _steps(full))
     return found[0] if found else MISSING
 
 
@@ -70,12 +80,13 @@ class _Absent(Exception):
 
 
 def _first(document: Any, path: str) -> Any:
-    found = find(document, steps(path))
+    found = find(document, _steps(path))
     if not found:
         raise _Absent(f"{path} not found in the document")
     return found[0]
 
 
+@lru_cache(maxsize=4096)
 def _tree(text: str) -> ast.expr:
     """The arithmetic of a right side; paths become names."""
     return ast.parse(_INSIDE.sub(lambda m: "P_" + m[1][1:].replace(".", "__DOT__"), text), mode="eval").body
@@ -148,7 +159,7 @@ class Rule:
             if isinstance(right, str) and "$" in right:
                 text = right.strip()
                 right = _first(document, text) if _PLAIN.match(text) else _arithmetic(_tree(text), lambda p: _first(document, p), _apply)
-            passed = {"eq": lambda: left == right, "lt": lambda: left < right, "gt": lambda: left > right, "lte": lambda: left <= right, "gte": lambda: left >= right, "in": lambda: left in right}[self.op]()
+            passed = _TESTS[self.op](left, right)
         except Exception as why:
             return {"name": self.name, "passed": False, "message": str(why)}
         return {"name": self.name, "passed": bool(passed), "message": "" if passed else f"{self.path!r} ({left!r}) does not satisfy {self.op}({right!r})"}

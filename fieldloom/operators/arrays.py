@@ -58,26 +58,24 @@ def parts(*tables: DataFrame) -> int:
 
 def align_by_index(expected: DataFrame, actual: DataFrame, group: list[str], place: str) -> DataFrame:
     """Items of two tables in the n-th place of a group side by side, a null side where one has no such item."""
-    return _joined(_placed(expected, group, place), _placed(actual, group, place), [*group, "nth"])
+    return _side_by_side(expected, actual, group, group, place)
 
 
 def align_by_key(expected: DataFrame, actual: DataFrame, group: list[str], key: list[str], place: str) -> DataFrame:
     """Items of equal keys side by side, the n-th of a key with the n-th: what greedy pairing on exact keys gives, as one join."""
-    return _joined(_placed(expected, [*group, *key], place), _placed(actual, [*group, *key], place), [*group, *key, "nth"])
-
-
-def _placed(df: DataFrame, keys: list[str], place: str) -> DataFrame:
-    return df.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(place)))
-
-
-def _joined(expected: DataFrame, actual: DataFrame, keys: list[str]) -> DataFrame:
-    """Full outer join in which null keys are equal; columns besides the keys are named e_ and a_."""
-    sides = [df.select(*(F.col(k).alias(f"{n}_{k}") for k in df.columns), F.lit(True).alias(f"in_{n}")) for n, df in (("e", expected), ("a", actual))]
-    on = [sides[0][f"e_{k}"].eqNullSafe(sides[1][f"a_{k}"]) for k in keys]
-    both = sides[0].join(sides[1], on, "full")
-    shared = [F.when(F.col("in_e"), F.col(f"e_{k}")).otherwise(F.col(f"a_{k}")).alias(k) for k in keys]
-    rest = [c for n, df in (("e", expected), ("a", actual)) for c in (f"{n}_{k}" for k in df.columns if k not in keys)]
-    return both.select(*shared, *rest, F.coalesce("in_e", F.lit(False)).alias("in_expected"), F.coalesce("in_a", F.lit(False)).alias("in_actual"))
+    return _side_by_side(expected, actual, group, [*group, *key], place)
+
+
+def _side_by_side(expected: DataFrame, actual: DataFrame, group: list[str], keys: list[str], place: str) -> DataFrame:
+    """The full outer join on the keys and the place among rows of these keys, in which null keys are equal; columns besides are named e_ and a_. A place has one row of a side at most, so the sides' rows are gathered by group, numbered and merged there."""
+    own = [c.alias(k) for k in keys for c in [F.col(f"`{k}`")]]
+    row = lambda df: F.struct(*(F.col(f"`{k}`") for k in df.columns))
+    none = lambda df: F.lit(None).cast(df.select(row(df).alias("x")).schema["x"].dataType)
+    rows = expected.select(*own, row(expected).alias("__e"), none(actual).alias("__a")).union(actual.select(*own, none(expected).alias("__e"), row(actual).alias("__a")))
+    window = Window.partitionBy(*keys, F.col("__e").isNull()).orderBy(F.col(f"__e.`{place}`"), F.col(f"__a.`{place}`"))
+    both = by_group(rows, group).withColumn("nth", F.row_number().over(window)).groupBy(*keys, "nth").agg(*(F.first(x, ignorenulls=True).alias(x) for x in ("__e", "__a")))
+    rest = [F.col(f"__{n}.`{k}`").alias(f"{n}_{k}") for n, df in (("e", expected), ("a", actual)) for k in df.columns if k not in (*keys, "nth")]
+    return both.select(*keys, "nth", *rest, F.col("__e").isNotNull().alias("in_expected"), F.col("__a").isNotNull().alias("in_actual"))
 
 
 def jaccard(a: Column, e: Column) -> Column:

@@ -62,3 +62,43 @@ def test_only_the_fields_asked_for(spark):
     assert at == {"1": {"array_accuracy": 0.5, "mean_score": 0.5}, "2": None, "3": None}
     with pytest.raises(ValueError, match="no place"):
         tree.evaluate(df, node_fields=["place"])
+
+
+def test_tables_are_aligned_in_parts_that_do_not_grow_with_them(spark, monkeypatch):
+    from fieldloom.operators import arrays
+
+    items = queries._items(spark, "/root/testdata/sf0.001")
+    few = arrays.parts(items)
+    monkeypatch.setattr(arrays, "PART_BYTES", 10_000)
+    assert arrays.parts(items) > few == 4
+    found = arrays.align_by_index(items, items.filter("l_partkey % 3 = 0"), ["l_orderkey"], "place")
+    assert found.rdd.getNumPartitions() == arrays.parts(items, items) and "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.filter("in_expected").count() == items.count() and found.filter("in_actual").count() == items.filter("l_partkey % 3 = 0").count()
+    assert found.filter("in_expected AND in_actual AND e_place > a_place").count() == 0
+
+
+def test_pairs_need_no_item_in_the_compiled_plan(spark):
+    from fieldloom.operators import reports as R
+    from fieldloom.plans import typed
+
+    found = R.matches(typed.evaluate(queries._nested(spark, "/root/testdata/sf0.001"), EvalConfig(), sample_id="l_orderkey"))
+    assert "expected_path" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lists_of_errors_come_of_one_evaluation(spark):
+    plan = detail_queries.orders_schema_errors(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+def test_texts_with_a_normal_form_pair_by_equality(spark):
+    plan = detail_queries.lineitem_folded_key(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_position" in plan and "exists(" not in plan
+    assert arrays_of_texts(spark) == [[(0, 1), (1, 0), (3, 2)]]
+
+
+def arrays_of_texts(spark):
+    from fieldloom.plans import typed
+
+    df = spark.sql("SELECT named_struct('xs', array('A', 'b ', 'c', NULL)) AS expected, named_struct('xs', array('B', 'a', NULL, 'a')) AS actual")
+    config = EvalConfig(fields={"xs": ArrayFieldConfig(strategy="by_key", params={"key_metric": "regex_match"})})
+    return [sorted((m.expected_index, m.actual_index) for m in r.matches if None not in (m.expected_index, m.actual_index)) for r in typed.evaluate(df, config).collect()]

@@ -21,6 +21,8 @@ def plain(x: Column, pattern: str = r"\s+", repl: str = " ", lower: bool = True,
     """The text once the pattern is replaced. Groups of ``repl`` are written as in Python."""
     java = re.sub(r"\\(\d)", r"$\1", repl.replace("$", r"\$"))
     x = F.lower(x) if lower else x
+    if strip_ends and pattern == r"\s+" and repl == " ":  # runs of white space at the ends are single spaces then
+        return F.trim(F.regexp_replace(x, r"(?U)\s+", " "))
     x = strip(x) if strip_ends else x
     x = F.regexp_replace(x, F.lit("(?U)" + pattern), F.lit(java))
     return strip(x) if strip_ends else x

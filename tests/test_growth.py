@@ -102,3 +102,15 @@ def arrays_of_texts(spark):
     df = spark.sql("SELECT named_struct('xs', array('A', 'b ', 'c', NULL)) AS expected, named_struct('xs', array('B', 'a', NULL, 'a')) AS actual")
     config = EvalConfig(fields={"xs": ArrayFieldConfig(strategy="by_key", params={"key_metric": "regex_match"})})
     return [sorted((m.expected_index, m.actual_index) for m in r.matches if None not in (m.expected_index, m.actual_index)) for r in typed.evaluate(df, config).collect()]
+
+
+def test_the_usual_normal_form_takes_one_replacement(spark):
+    from fieldloom import functions as S
+    from fieldloom.metrics import RegexMatch
+
+    texts = ["", " ", " A \tb \n", "a\u0085B", "x", "  　İ  y​ ", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert df.select(S.plain(df.t).alias("p"))._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
+    assert [r[0] for r in df.select(S.plain(df.t)).collect()] == [None if t is None else RegexMatch().plain(t) for t in texts]
+    general = S.strip(S.plain(S.strip(df.t), r"\s+", " ", strip_ends=False))
+    assert [tuple(r) for r in df.select(S.plain(df.t), general).collect() if r[0] != r[1]] == []
